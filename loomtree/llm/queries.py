@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtree.llm import canonical, leaks, packing, split
+from loomtree.llm import canonical, leaks, packing, scans, split
 from loomtree.session import table
 
 
@@ -13,6 +13,8 @@ def _docs(spark, d):
 QUERIES = {
     "p3_found": lambda spark, d: split.oversized_plans(table(spark, d, "batch_plans")),
     "p3_pieces": lambda spark, d: split.split_oversized(table(spark, d, "batch_plans")),
+    "p5_found": lambda spark, d: scans.scan_repairs(table(spark, d, "batch_contexts")),
+    "p5_paragraphs": lambda spark, d: scans.repaired_texts(table(spark, d, "batch_contexts")),
     "p6_packed": lambda spark, d: packing.packed(_docs(spark, d)),
     "p6_containers": lambda spark, d: packing.containers(packing.packed(_docs(spark, d))),
     "p7_found": lambda spark, d: leaks.leaked_passages(_docs(spark, d), table(spark, d, "eval_items")).select("doc_id", "item_id"),
