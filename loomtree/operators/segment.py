@@ -34,11 +34,11 @@ def plan_batches(texts: DataFrame, doc: str, text: str, budget: int | Column, co
     limit = F.lit(budget) if isinstance(budget, int) else budget
     normal = F.regexp_replace(F.col(text), r"\r\n|\r", "\n")
     rows = texts.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), normal.alias("t"), limit.alias("budget"))
-    parts = file_lines(F.col("t"))
-    n = F.size(parts)
-    ended = F.col("t").endswith("\n")
-    lines = F.transform(parts, lambda x, i: F.when((i + 1 < n) | ended, F.concat(x, F.lit("\n"))).otherwise(x))
-    rows = rows.select("doc", "budget", lines.alias("lines"))
+    # explode of one element keeps an array from being computed again for every use of it
+    rows = rows.select("doc", "budget", "t", F.explode(F.array(file_lines(F.col("t")))).alias("p"))
+    n, ended = F.size("p"), F.col("t").endswith("\n")
+    lines = F.transform("p", lambda x, i: F.when((i + 1 < n) | ended, F.concat(x, F.lit("\n"))).otherwise(x))
+    rows = rows.where(n > 0).select("doc", "budget", F.explode(F.array(lines)).alias("lines"))
     tokens = F.transform("lines", lambda x: counter(x).cast("bigint"))
     start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("ends"))
 
@@ -51,8 +51,6 @@ def plan_batches(texts: DataFrame, doc: str, text: str, budget: int | Column, co
             F.when(full, F.array_append(state["ends"], i)).otherwise(state["ends"]).alias("ends"),
         )
 
-    # explode keeps the lines and the fold from being written out once for every use
-    rows = rows.where(F.size("lines") > 0).select("doc", "budget", F.explode(F.array("lines")).alias("lines"))
     folded = rows.select("doc", "lines", F.explode(F.array(F.aggregate(tokens, start, step))).alias("f"))
     last = F.coalesce(F.element_at("f.ends", F.when(F.size("f.ends") > 0, -1)), F.lit(0))
     ends = F.when(last < F.size("lines"), F.array_append("f.ends", F.size("lines"))).otherwise(F.col("f.ends"))

@@ -1,6 +1,7 @@
 """Validation of header events: errors block a batch, warnings do not.
 
-All checks are frames of (doc, chunk, line_no, severity, code, message) that are simply united. Ids known from earlier
+All checks are frames of (doc, chunk, line_no, severity, code, message, pos) that are simply united; pos orders what one
+check says about one line. Ids known from earlier
 chunks and ids seen earlier in the chunk are one rule: an id's first place in document order.
 """
 
@@ -22,7 +23,10 @@ def _place(df: DataFrame) -> Column:
 
 
 def _issue(df: DataFrame, severity: str, code: str, message: Column) -> DataFrame:
-    return df.select("doc", "chunk", "line_no", F.lit(severity).alias("severity"), F.lit(code).alias("code"), message.alias("message"))
+    pos = F.col("pos") if "pos" in df.columns else F.lit(0)
+    return df.select(
+        "doc", "chunk", "line_no", F.lit(severity).alias("severity"), F.lit(code).alias("code"), message.alias("message"), pos.alias("pos")
+    )
 
 
 def _text(*parts: Column | str) -> Column:
@@ -105,7 +109,7 @@ def proves_bad_target(heads: DataFrame) -> DataFrame:
 
 def missing_dependencies(heads: DataFrame) -> DataFrame:
     """Dependencies on ids that stand nowhere at or before the header."""
-    asked = heads.select("doc", "chunk", "line_no", "place", "id", F.explode("deps").alias("dep")).where(
+    asked = heads.select("doc", "chunk", "line_no", "place", "id", F.posexplode("deps").alias("pos", "dep")).where(
         F.col("dep").isNotNull() & (F.col("dep") != "")
     )
     known = first_places(heads).select(F.col("doc").alias("k_doc"), F.col("id").alias("k_id"), "first_place")

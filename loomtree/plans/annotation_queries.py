@@ -8,7 +8,7 @@ from loomtree.checkpoints import checkpointed
 from loomtree.functions import patterns as P
 from loomtree.operators import align, annotations, graph, lines, preview, rules, segment, tree, validate
 from loomtree.plans.sqltext import (
-    CLOSURE, DOC_TEXTS, HEADS, LINES, MARKED, NODES, PARSED, SPANS, STORED, TEXTS, listed, query, quoted, split, tokens, trimmed,
+    CLOSURE, DOC_TEXTS, FILE_SPLIT, HEADS, LINES, MARKED, NODES, PARSED, SPANS, STORED, TEXTS, listed, query, quoted, tokens, trimmed,
 )
 from loomtree.session import table
 
@@ -256,7 +256,7 @@ QUERIES = {
     "val_8_9_known_ids": lambda s, d: validate.known_id_counts(_stored(s, d)),
     "val_8_known_id_list": lambda s, d: validate.known_ids(_doc_chunked(s, d)),
     "val_10_token_size": _size_warnings,
-    "val_11_all": lambda s, d: validate.validate(_parsed(s, d), _lines(s, d)),
+    "val_11_all": lambda s, d: _issues(validate.validate(_parsed(s, d), _lines(s, d))),
     "val_11_validity": lambda s, d: validate.batch_validity(validate.validate(_stored(s, d)), _stored(s, d)),
     "seg_1_4_5_progress": _progress,
     "seg_2_3_batches": _batches,
@@ -302,7 +302,7 @@ _ALN = f"""rt AS (SELECT doc, chunk, flatten(list_transform(list_zip(p, range(1,
 c AS (SELECT *, len(r)::INT AS n, CASE WHEN len(r) = 0 THEN 0 ELSE greatest(1, floor(len(r) * 0.6))::INT END AS k FROM rt),
 a AS (SELECT *, CASE WHEN n = 0 THEN 'raw_has_no_content_tokens' WHEN k < least(20, n) THEN 'cleaned_too_short_for_alignment' END AS error_code FROM c)"""
 ORACLES = {
-    "src_1_2_raw_lines": query(DOC_TEXTS, LINES.replace(split("t"), split("t", P.FILE_LINE_BREAK)), select="SELECT doc, line_no, line FROM lines"),
+    "src_1_2_raw_lines": query(DOC_TEXTS, FILE_SPLIT, select="SELECT doc, line_no, line FROM lines"),
     "prs_1_lines": query(*_T, select="SELECT doc, chunk, line_no, line FROM lines"),
     "prs_2_cutoff": query(*_T, MARKED, select="SELECT DISTINCT doc, chunk, cutoff_line FROM marked WHERE cutoff_line IS NOT NULL"),
     "prs_3_4_header_depth": query(*_T, select=f"SELECT doc, chunk, line_no, length(regexp_extract(line, {quoted(P.HEADER)}, 1))::INT AS depth FROM lines WHERE regexp_matches(line, {quoted(P.HEADER)})"),

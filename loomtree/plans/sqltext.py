@@ -34,6 +34,9 @@ LINES = f"""parts AS (SELECT doc, chunk, {split('t')} AS p FROM texts),
 lines AS (SELECT doc, chunk, unnest(range(1, len(p) + 1))::INT AS line_no, unnest(p) AS line FROM parts)"""
 
 
+FILE_SPLIT = LINES.replace(split("t"), split("t", P.FILE_LINE_BREAK))
+
+
 def _value(key: str) -> str:
     v = f"vs[list_position(ks, '{key}')]"
     return f"(CASE WHEN starts_with({v}, '\"') AND ends_with({v}, '\"') THEN substr({v}, 2, greatest(length({v}) - 2, 0)) ELSE {v} END)"
