@@ -40,10 +40,11 @@ def markup(text: str) -> str:
 
 
 def sizes(
-    docs: DataFrame, *, capacity: int = CAPACITY, path: str = tokens.RANKS, no_loss: Callable[[str], str] = markup
-) -> DataFrame:
-    """Items: see SIZES. Texts over ``capacity`` tokens give full pieces and a rest; null and empty texts one of 0."""
-    to = schema(SIZES)
+    docs: DataFrame, *, capacity: int = CAPACITY, loss_capacity: int | None = None, path: str = tokens.RANKS,
+    no_loss: Callable[[str], str] = markup,
+) -> DataFrame:
+    """Items: see SIZES. Texts over a limit give full pieces and a rest; null and empty texts one item of 0."""
+    to, most_loss = schema(SIZES), capacity if loss_capacity is None else loss_capacity
 
     def rows(batches) -> Iterator[tuple]:
         encode = tokens.encoding(path).encode_ordinary
@@ -52,8 +53,9 @@ def sizes(
                 n = len(encode(text)) if text else 0
                 quiet = no_loss(text) if text else ""
                 loss = max(0, n - len(encode(quiet))) if quiet else n
-                for piece, start in enumerate(range(0, max(n, 1), capacity)):
-                    size = min(capacity, n - start)
+                step = capacity if not n or -(-loss * min(n, capacity) // n) <= most_loss else min(capacity, most_loss)
+                for piece, start in enumerate(range(0, max(n, 1), step)):
+                    size = min(step, n - start)
                     yield doc, piece, start, size, min(size, -(-loss * size // n) if n else 0)
 
     return docs.select("doc_id", "text").mapInArrow(lambda batches: emit(rows(batches), to), SIZES)
@@ -107,12 +109,12 @@ def packed(
 ) -> DataFrame:
     """Every document's items with their container: see PACKED.
 
-    Defined results: a container never exceeds a limit; only texts over ``capacity`` tokens have several pieces; null
+    Defined results: a container never exceeds a limit; only texts over a limit have several pieces; null
     and empty texts need no space and have a null container; of repeated rows each is packed, as each is a text;
     empty tables give no rows; ties are broken by doc_id; other columns are ignored.
     """
     to, blocks = schema(PACKED), max(1, round(docs.count() / block_items))
-    items = sizes(docs, capacity=capacity, path=path, no_loss=no_loss)
+    items = sizes(docs, capacity=capacity, loss_capacity=loss_capacity, path=path, no_loss=no_loss)
     block = F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(blocks)).cast("int")
 
     def run(table: pa.Table) -> pa.Table:
