@@ -7,6 +7,7 @@ from __future__ import annotations
 
 # The format's white space (Unicode), line separators, headers, attributes, markers and types.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+OTHER_BREAKS = r"\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 FILE_LINE_BREAK = r"\r\n|[\n\r]"
 HEADER = rf"(?s)^[{SPACE}]*@[{SPACE}]*(-+)[{SPACE}]+(.*?)[{SPACE}]*$"

@@ -14,9 +14,17 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def is_header(line: Column) -> Column:
+    return line.contains("@") & line.rlike(HEADER)
+
+
+def is_cutoff(line: Column) -> Column:
+    return line.contains("cutoff") & line.rlike(CUTOFF)
+
+
 def header_depth(line: Column) -> Column:
     """Number of dashes of a header line, null for other lines."""
-    return F.when(line.rlike(HEADER), F.length(F.regexp_extract(line, HEADER, 1)))
+    return F.when(is_header(line), F.length(F.regexp_extract(line, HEADER, 1)))
 
 
 def _unquoted(value: Column) -> Column:
@@ -27,14 +35,13 @@ def _unquoted(value: Column) -> Column:
 
 def attribute_map(header: Column) -> Column:
     """key=value pairs of a header's rest; of repeated keys the last counts."""
-    keys = F.reverse(F.regexp_extract_all(header, F.lit(ATTRIBUTE), F.lit(1)))
-    values = F.reverse(F.regexp_extract_all(header, F.lit(ATTRIBUTE), F.lit(2)))
-    first = F.filter(F.sequence(F.lit(1), F.size(keys)), lambda i: F.array_position(keys, F.element_at(keys, i)) == i)
-    first = F.when(F.size(keys) > 0, first).otherwise(F.array().cast("array<int>"))
-    return F.map_from_arrays(
-        F.transform(first, lambda i: F.element_at(keys, i)),
-        F.transform(first, lambda i: _unquoted(strip(F.element_at(values, i)))),
-    )
+    none = F.array().cast("array<string>")
+
+    def add(seen: Column, pair: Column) -> Column:
+        key, value = F.regexp_extract(pair, ATTRIBUTE, 1), F.regexp_extract(pair, ATTRIBUTE, 2)
+        return F.map_concat(F.map_filter(seen, lambda k, _: k != key), F.create_map(key, _unquoted(strip(value))))
+
+    return F.aggregate(F.regexp_extract_all(header, F.lit(ATTRIBUTE), F.lit(0)), F.map_from_arrays(none, none), add)
 
 
 def dependency_list(value: Column) -> Column:
@@ -51,26 +58,25 @@ def dependency_list(value: Column) -> Column:
 
 def cutoff_lines(lines: DataFrame) -> DataFrame:
     """(doc, chunk, cutoff_line): the first cutoff marker of each text that has one."""
-    marked = lines.where(F.col("line").rlike(CUTOFF))
+    marked = lines.where(is_cutoff(F.col("line")))
     return marked.groupBy("doc", "chunk").agg(F.min("line_no").alias("cutoff_line"))
 
 
 def before_cutoff(lines: DataFrame) -> DataFrame:
     """Lines with ``cutoff_line`` (null where there is none), those behind it left out."""
     part = W.partitionBy("doc", "chunk")
-    marked = lines.withColumn("cutoff_line", F.min(F.when(F.col("line").rlike(CUTOFF), F.col("line_no"))).over(part))
+    marked = lines.withColumn("cutoff_line", F.min(F.when(is_cutoff(F.col("line")), F.col("line_no"))).over(part))
     return marked.where(F.col("cutoff_line").isNull() | (F.col("line_no") <= F.col("cutoff_line")))
 
 
 def parse_events(lines: DataFrame) -> DataFrame:
     """(doc, chunk, line_no, event_type, id, depth, title, node_type, proves, deps) of all headers with an id and of the
     cutoff that ends a text's events. A header without an id is no event."""
-    kept = before_cutoff(lines)
-    is_cut = F.col("line_no") == F.col("cutoff_line")
-    rows = kept.where(F.coalesce(is_cut, F.lit(False)) | F.col("line").rlike(HEADER))
-    rows = rows.withColumn("is_cut", F.coalesce(is_cut, F.lit(False)))
+    rows = before_cutoff(lines.where(is_header(F.col("line")) | is_cutoff(F.col("line"))))  # only these are shuffled
+    rows = rows.withColumn("is_cut", F.coalesce(F.col("line_no") == F.col("cutoff_line"), F.lit(False)))
     attrs = F.when(~F.col("is_cut"), attribute_map(F.regexp_extract("line", HEADER, 2)))
-    rows = rows.withColumn("attrs", attrs).where(F.col("is_cut") | (F.coalesce(F.col("attrs")["id"], F.lit("")) != ""))
+    # explode of one element keeps the map from being computed again for every attribute
+    rows = rows.select("*", F.explode(F.array(attrs)).alias("attrs")).where(F.col("is_cut") | (F.coalesce(F.col("attrs")["id"], F.lit("")) != ""))
     return rows.select(
         "doc",
         "chunk",

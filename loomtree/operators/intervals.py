@@ -43,7 +43,7 @@ def merge_intervals(
     touching intervals (hi + 1 = lo) are one period; an empty table gives no rows; other columns are ignored.
     Bounds must lie within +-2**40.
     """
-    n = [f"k{i}" for i in range(len(keys))]
+    n, nulls = [f"k{i}" for i in range(len(keys))], not skip_null_keys
     rows = _usable(df, keys, lo, hi)
     if skip_null_keys:
         rows = rows.dropna(subset=n)
@@ -66,7 +66,7 @@ def merge_intervals(
         F.max("top").over(entity.orderBy("block").rowsBetween(W.unboundedPreceding, 0)).alias("through"),
     )
     seen = sessions.withColumn("so_far", F.max("hi").over(inside.rowsBetween(W.unboundedPreceding, -1)))
-    joined = _null_safe(seen, carried, [*n, "block"])
+    joined = _meet(seen, carried, [*n, "block"], nulls)
     reach = F.greatest("before", "so_far")
     opened = joined.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("lo") > F.col("reach") + 1))
     # The reach before the next opening is where this period ends; the last opening of a block asks later blocks.
@@ -74,12 +74,12 @@ def merge_intervals(
     first_open = opened.groupBy(*n, "block").agg(F.min_by("reach", "lo").alias("first_reach"))
     ahead = entity.orderBy("block").rowsBetween(1, W.unboundedFollowing)
     whole = entity.orderBy("block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    later = _null_safe(carried.select(*n, "block", "through"), first_open, [*n, "block"], how="left").select(
+    later = _meet(carried.select(*n, "block", "through"), first_open, [*n, "block"], nulls, how="left").select(
         *n,
         "block",
         F.coalesce(F.first("first_reach", ignorenulls=True).over(ahead), F.max("through").over(whole)).alias("end_later"),
     )
-    periods = _null_safe(opened, later, [*n, "block"]).withColumn("hi", F.coalesce("end_here", "end_later"))
+    periods = _meet(opened, later, [*n, "block"], nulls).withColumn("hi", F.coalesce("end_here", "end_later"))
     gap = F.struct(F.lit("gap").alias("kind"), (F.col("reach") + 1).alias("lo"), (F.col("lo") - 1).alias("hi"))
     period = F.struct(F.lit("period").alias("kind"), F.col("lo"), F.col("hi"))
     both = F.when(F.col("reach").isNull(), F.array(period)).otherwise(F.array(period, gap))
@@ -87,12 +87,13 @@ def merge_intervals(
     return flat.select(*[F.col(a).alias(k) for a, k in zip(n, keys)], "r.kind", "r.lo", "r.hi")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that lets null keys meet, keeping one copy of the key columns."""
+def _meet(left: DataFrame, right: DataFrame, on: Sequence[str], nulls: bool, how: str = "inner") -> DataFrame:
+    """Equi-join that keeps one copy of the key columns and lets null keys meet if there may be ``nulls``; a plain
+    equality, unlike a null-safe one, finds both sides already partitioned by the keys."""
     right = right.select(*[F.col(c).alias(f"r_{c}") if c in on else F.col(c) for c in right.columns])
     cond: Column | None = None
     for c in on:
-        test = F.col(c).eqNullSafe(F.col(f"r_{c}"))
+        test = F.col(c).eqNullSafe(F.col(f"r_{c}")) if nulls else F.col(c) == F.col(f"r_{c}")
         cond = test if cond is None else cond & test
     return left.join(right, cond, how).drop(*[f"r_{c}" for c in on])
 

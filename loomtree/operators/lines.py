@@ -6,15 +6,21 @@ document's chunks are tasks of their own and order never depends on where a row
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from loomtree.functions.patterns import FILE_LINE_BREAK, LINE_BREAK
+from loomtree.functions.patterns import FILE_LINE_BREAK, LINE_BREAK, OTHER_BREAKS
 
 
 def split_lines(text: Column, breaks: str = LINE_BREAK) -> Column:
     """The lines of a text: none for '', and no empty one after a final break."""
-    parts = F.split(text, breaks)
+    others = rf"[{OTHER_BREAKS}]" if breaks == LINE_BREAK else r"\r"
+    # a plain line feed is split without a pattern
+    parts = F.when(text.rlike(others), F.split(text, breaks)).otherwise(F.split(text, "\n"))
     n = F.size(parts)
     ended = F.element_at(parts, -1) == ""
     return F.when(ended, F.slice(parts, 1, F.greatest(n - 1, F.lit(0)))).otherwise(parts)
@@ -35,19 +41,18 @@ def text_lines(texts: DataFrame, doc: str, chunk: Column | str | None, text: str
     )
 
 
-def with_carry(df: DataFrame, summary: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
+def with_carry(df: DataFrame, summary: dict[str, Column], carry: list[tuple[str, Callable[[WindowSpec], Column]]]) -> DataFrame:
     """Adds to each row of a (doc, chunk) values carried in from the document's earlier chunks.
 
-    ``summary`` aggregates each chunk; ``carry`` are window functions over the chunk summaries in order (columns of
-    ``summary``, applied to the earlier chunks only). A document's running state is thus one row per chunk, and no
-    task ever holds a whole document: the way to scan a document that has a third of all rows.
+    ``summary`` aggregates each chunk; ``carry`` are columns over the chunk summaries, given the window of the earlier
+    chunks, each free to use those before it. A document's running state is thus one row per chunk, and no task ever
+    holds a whole document: the way to scan a document that has a third of all rows. Rows without a document or
+    chunk belong to no document and are left out.
     """
-    from pyspark.sql import Window as W
-
     chunks = df.groupBy("doc", "chunk").agg(*[c.alias(n) for n, c in summary.items()])
     earlier = W.partitionBy("doc").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    carried = chunks.select(
-        F.col("doc").alias("_doc"), F.col("chunk").alias("_chunk"), *[c.over(earlier).alias(n) for n, c in carry.items()]
-    )
-    on = F.col("doc").eqNullSafe(F.col("_doc")) & F.col("chunk").eqNullSafe(F.col("_chunk"))
+    for name, column in carry:
+        chunks = chunks.withColumn(name, column(earlier))
+    carried = chunks.select(F.col("doc").alias("_doc"), F.col("chunk").alias("_chunk"), *[n for n, _ in carry])
+    on = (F.col("doc") == F.col("_doc")) & (F.col("chunk") == F.col("_chunk"))
     return df.join(carried, on).drop("_doc", "_chunk")

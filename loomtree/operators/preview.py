@@ -53,7 +53,7 @@ def capped_lines(nodes_: DataFrame, cap: int = CAP) -> DataFrame:
     rows = lines.join(trace, ["doc", "node_seq"])
     other = F.when(F.col("on_trace"), 0).otherwise(1)
     inside = W.partitionBy("doc", "chunk").orderBy("node_seq").rowsBetween(W.unboundedPreceding, 0)
-    counted = with_carry(rows.withColumn("n", F.sum(other).over(inside)).withColumn("o", other), {"total": F.sum("o")}, {"before": F.sum("total")})
+    counted = with_carry(rows.withColumn("n", F.sum(other).over(inside)).withColumn("o", other), {"total": F.sum("o")}, [("before", lambda earlier: F.sum("total").over(earlier))])
     kept = counted.where(F.col("on_trace") | (F.col("n") + F.coalesce("before", F.lit(0)) <= cap))
     return kept.select("doc", "node_seq", "on_trace", "line")
 

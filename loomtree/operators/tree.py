@@ -27,16 +27,18 @@ def effective_depths(events: DataFrame) -> DataFrame:
     heads = events.where(F.col("event_type") == "header").withColumn("depth", declared_depth(F.col("depth")))
     chunk = W.partitionBy("doc", "chunk").orderBy(*_order(heads))
     local = heads.withColumn("k", F.row_number().over(chunk)).withColumn("gap", F.col("depth") - F.col("k"))
+    local = local.withColumn("low", F.min("gap").over(chunk.rowsBetween(W.unboundedPreceding, 0)))
     carried = with_carry(
-        local.withColumn("low", F.min("gap").over(chunk.rowsBetween(W.unboundedPreceding, 0))),
+        local,
         {"n_heads": F.count(F.lit(1)).cast("int"), "lowest": F.min("gap")},
-        {"before": F.sum("n_heads")},
+        [
+            ("before", lambda earlier: F.coalesce(F.sum("n_heads").over(earlier), F.lit(0)).cast("int")),
+            ("low_before", lambda earlier: F.min(F.col("lowest") - F.col("before")).over(earlier)),
+        ],
     )
-    before = F.coalesce("before", F.lit(0)).cast("int")
-    shifted = carried.withColumn("node_seq", F.col("k") + before).withColumn("low", F.col("low") - before)
-    lows = with_carry(shifted.withColumn("g", F.col("gap") - before), {"lowest": F.min("g")}, {"low_before": F.min("lowest")})
-    low = F.least(F.lit(0), F.col("low"), F.coalesce("low_before", F.lit(0)))
-    return lows.withColumn("eff_depth", F.col("node_seq") + low).drop("k", "gap", "low", "g", "before", "low_before")
+    low = F.least(F.lit(0), F.col("low") - F.col("before"), F.coalesce("low_before", F.lit(0)))
+    seq = F.col("k") + F.col("before")
+    return carried.withColumn("node_seq", seq).withColumn("eff_depth", seq + low).drop("k", "gap", "low", "before", "low_before")
 
 
 def _last_at_level(levelled: DataFrame, level: str, what: str, name: str) -> DataFrame:
@@ -49,28 +51,28 @@ def _last_at_level(levelled: DataFrame, level: str, what: str, name: str) -> Dat
         F.col("doc").alias("_d"), F.col("chunk").alias("_c"), F.col(level).alias("_l"),
         F.last("_top", ignorenulls=True).over(earlier).alias("_early"),
     )
-    on = F.col("doc").eqNullSafe(F.col("_d")) & F.col("chunk").eqNullSafe(F.col("_c")) & (F.col(level) == F.col("_l"))
+    on = (F.col("doc") == F.col("_d")) & (F.col("chunk") == F.col("_c")) & (F.col(level) == F.col("_l"))
     return local.join(tops, on).withColumn(name, F.coalesce("_here", "_early")).drop("_d", "_c", "_l", "_here", "_early")
 
 
 def nodes(events: DataFrame) -> DataFrame:
     """One row per header: doc, chunk, line_no, node_seq, id, title, node_type, proves, deps, depth, eff_depth,
-    parent_seq (0 for the hidden root)."""
-    eff = effective_depths(events)
-    both = eff.select(
-        "doc", "chunk", (F.col("node_seq")).alias("at"),
-        F.explode(F.array(
-            F.struct(F.col("eff_depth").alias("level"), F.col("node_seq").alias("provider"), F.lit(None).cast("int").alias("asks")),
-            F.struct((F.col("eff_depth") - 1).alias("level"), F.lit(None).cast("int").alias("provider"), F.col("node_seq").alias("asks")),
-        )).alias("r"),
-    ).select("doc", "chunk", "at", "r.*")
-    found = _last_at_level(both, "level", "provider", "parent_seq").where(F.col("asks").isNotNull())
-    parents = found.select(F.col("doc").alias("_d"), F.col("asks"), F.coalesce("parent_seq", F.lit(0)).alias("parent_seq"))
-    joined = eff.join(parents, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("node_seq") == F.col("asks"))).drop("_d", "asks")
-    return joined.select(
+    parent_seq (0 for the hidden root).
+
+    Each header is looked at twice, as what later headers may find at its level and as one that asks one level up;
+    the asking copy carries the header along, so that nothing has to be joined back.
+    """
+    eff = effective_depths(events).select(
         "doc", "chunk", "line_no", "node_seq", "id", title_of(F.col("title"), F.col("id")).alias("title"),
-        node_type_of(F.col("node_type")).alias("node_type"), "proves", "deps", "depth", "eff_depth", "parent_seq",
+        node_type_of(F.col("node_type")).alias("node_type"), "proves", "deps", "depth", "eff_depth",
     )
+    row = F.struct(*[c for c in eff.columns if c not in ("doc", "chunk")])
+    none = F.lit(None).cast(eff.select(row.alias("r")).schema["r"].dataType)
+    given = F.struct(F.col("eff_depth").alias("level"), F.col("node_seq").alias("provider"), none.alias("row"))
+    asks = F.struct((F.col("eff_depth") - 1).alias("level"), F.lit(None).cast("int").alias("provider"), row.alias("row"))
+    both = eff.select("doc", "chunk", F.col("node_seq").alias("at"), F.explode(F.array(given, asks)).alias("r"))
+    found = _last_at_level(both.select("doc", "chunk", "at", "r.*"), "level", "provider", "parent_seq")
+    return found.where(F.col("row").isNotNull()).select("doc", "chunk", "row.*", F.coalesce("parent_seq", F.lit(0)).alias("parent_seq"))
 
 
 def content_spans(events: DataFrame, ends: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def content_spans(events: DataFrame, ends: DataFrame) -> DataFrame:
         (F.coalesce(F.lag("line_no").over(chunk), F.lit(0)) + 1).alias("first_line"),
         F.coalesce(F.sum(head).over(chunk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("seen"),
     )
-    carried = with_carry(local, {"n": F.sum("head")}, {"before": F.sum("n")})
+    carried = with_carry(local, {"n": F.sum("head")}, [("before", lambda earlier: F.sum("n").over(earlier))])
     owner = (F.col("seen") + F.coalesce("before", F.lit(0))).cast("int")
     spans = carried.select("doc", "chunk", owner.alias("node_seq"), "first_line", (F.col("line_no") - 1).alias("last_line"))
     return spans.where((F.col("node_seq") > 0) & (F.col("first_line") <= F.col("last_line")))
@@ -105,7 +107,7 @@ def on_active_trace(nodes_: DataFrame) -> DataFrame:
     chunks = nodes_.groupBy("doc", "chunk").agg(F.min("eff_depth").alias("_m"))
     later = W.partitionBy("doc").orderBy("chunk").rowsBetween(1, W.unboundedFollowing)
     chunks = chunks.select(F.col("doc").alias("_d"), F.col("chunk").alias("_c"), F.min("_m").over(later).alias("_later"))
-    on = F.col("doc").eqNullSafe(F.col("_d")) & F.col("chunk").eqNullSafe(F.col("_c"))
+    on = (F.col("doc") == F.col("_d")) & (F.col("chunk") == F.col("_c"))
     joined = local.join(chunks, on)
     low = F.least("_low", "_later")
     return joined.withColumn("on_trace", F.coalesce(F.col("eff_depth") < low, F.lit(True))).drop("_low", "_later", "_d", "_c")

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtree.functions.patterns import CUTOFF, NODE_TYPES, PROVEABLE_TYPES
-from loomtree.operators.annotations import strip
+from loomtree.functions.patterns import NODE_TYPES, PROVEABLE_TYPES
+from loomtree.operators.annotations import is_cutoff, strip
 
 # Fixed value: the message for text before a document's first header.
 LEADING = "Batch starts with content before the first node header. Start the document with a depth-1 header like '@ - id=...'."
@@ -48,7 +48,7 @@ def first_places(heads: DataFrame) -> DataFrame:
 
 def leading_content(lines: DataFrame, heads: DataFrame) -> DataFrame:
     """Text before the first header, in chunks before which the document has no node."""
-    marked = lines.withColumn("s", strip(F.col("line"))).withColumn("cut", F.col("line").rlike(CUTOFF))
+    marked = lines.withColumn("s", strip(F.col("line"))).withColumn("cut", is_cutoff(F.col("line")))
     per = marked.groupBy("doc", "chunk").agg(
         F.min(F.when(F.col("cut"), F.col("line_no"))).alias("cut_at"),
         F.min(F.when(~F.col("cut") & (F.col("s") != ""), F.struct("line_no", "s"))).alias("first"),

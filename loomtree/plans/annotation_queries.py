@@ -47,6 +47,10 @@ def _kept_nodes(s, d):
     return checkpointed(_nodes(s, d))
 
 
+def _kept_stored_nodes(s, d):
+    return checkpointed(_stored_nodes(s, d))
+
+
 def _stored_nodes(s, d):
     return tree.nodes(_stored(s, d))
 
@@ -60,7 +64,9 @@ def _doc_events(s, d):
 
 
 def _attributes(s, d):
-    kept = annotations.before_cutoff(_lines(s, d)).where(F.col("line").rlike(P.HEADER) & ~(F.coalesce(F.col("line_no") == F.col("cutoff_line"), F.lit(False))))
+    line = F.col("line")
+    marked = annotations.before_cutoff(_lines(s, d).where(annotations.is_header(line) | annotations.is_cutoff(line)))
+    kept = marked.where(~F.coalesce(F.col("line_no") == F.col("cutoff_line"), F.lit(False)))
     rest = F.regexp_extract("line", P.HEADER, 2)
     return kept.select("doc", "chunk", "line_no", F.explode(annotations.attribute_map(rest)).alias("key", "value"))
 
@@ -275,7 +281,7 @@ QUERIES = {
     "tre_6_7_stored_nodes": lambda s, d: _stored_nodes(s, d),
     "tre_8_9_spans": lambda s, d: tree.content_spans(_parsed(s, d), _ends(s, d)),
     "tre_10_metrics": lambda s, d: tree.batch_metrics(_nodes(s, d), _ends(s, d)),
-    "tre_13_14_19_registry": lambda s, d: tree.registry_issues(_stored_nodes(s, d)),
+    "tre_13_14_19_registry": lambda s, d: tree.registry_issues(_kept_stored_nodes(s, d)),
     "tre_15_removed": _removed,
     "tre_16_lookup": _lookup,
     "tre_17_cardinality": lambda s, d: _stored_nodes(s, d).groupBy("doc").agg(F.count(F.lit(1)).alias("n_nodes")),
@@ -284,8 +290,8 @@ QUERIES = {
     "ord_8_max_ancestor_content": _ancestor_tops,
     "ord_9_10_11_sibling_order": _sibling_order,
     "ord_17_18_partition": _partition,
-    "grf_1_dependencies": lambda s, d: graph.dependencies(_stored_nodes(s, d)),
-    "grf_2_proves": lambda s, d: graph.proved(_stored_nodes(s, d)),
+    "grf_1_dependencies": lambda s, d: graph.dependencies(_kept_stored_nodes(s, d)),
+    "grf_2_proves": lambda s, d: graph.proved(_kept_stored_nodes(s, d)),
     "grf_3_theory": lambda s, d: _stored_nodes(s, d).select("doc", "node_seq", graph.is_theory(F.col("node_type")).alias("theory")),
     "prv_1_2_lines": lambda s, d: preview.preview_lines(_kept_nodes(s, d)).select("doc", "node_seq", "line"),
     "prv_3_preview": _previews,

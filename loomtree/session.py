@@ -16,6 +16,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # text is costly to process for its size: keep cores busy on small tables too
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.driver.memory", os.environ.get("LOOMTREE_DRIVER_MEMORY", "8g"))
     )
     for key, value in conf.items():

@@ -3,30 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtree.functions.patterns import CUTOFF_LITERAL
-from loomtree.operators.lines import text_lines
+from loomtree.operators.lines import file_lines
+
+
+def _kept(clean: DataFrame) -> DataFrame:
+    """(doc, ordinal, lines): the file lines of clean texts before the first that holds the literal cutoff marker."""
+    rows = clean.where(F.col("text").isNotNull()).select("doc", "ordinal", F.explode(F.array(file_lines(F.col("text")))).alias("l"))
+    cut = F.array_position(F.transform("l", lambda x: x.contains(CUTOFF_LITERAL)), True)
+    return rows.select("doc", "ordinal", F.when(cut > 0, F.slice("l", 1, (cut - 1).cast("int"))).otherwise(F.col("l")).alias("lines"))
 
 
 def clean_lines(clean: DataFrame) -> DataFrame:
-    """File lines of clean texts (doc, ordinal, text) before the first line that holds the literal cutoff marker."""
-    lines = text_lines(clean, "doc", "ordinal", "text", as_file=True)
-    cut = F.min(F.when(F.col("line").contains(CUTOFF_LITERAL), F.col("line_no"))).over(W.partitionBy("doc", "chunk"))
-    kept = lines.withColumn("_cut", cut).where(F.col("_cut").isNull() | (F.col("line_no") < F.col("_cut")))
-    return kept.select("doc", F.col("chunk").alias("ordinal"), "line_no", "line")
+    """(doc, ordinal, line_no, line) of clean texts (doc, ordinal, text) before their cutoff marker; nothing is shuffled."""
+    rows = _kept(clean).select("doc", "ordinal", F.posexplode("lines").alias("p", "line"))
+    return rows.select("doc", "ordinal", (F.col("p") + 1).alias("line_no"), "line")
 
 
 def prior_clean_tails(clean: DataFrame, n: int) -> DataFrame:
     """(doc, ordinal, prior_clean_tail) for the batch after each clean text: its last ``n`` lines before the marker."""
-    lines = clean_lines(clean)
-    back = F.row_number().over(W.partitionBy("doc", "ordinal").orderBy(F.desc("line_no")))
-    tails = lines.withColumn("back", back).where(F.col("back") <= n).groupBy("doc", "ordinal").agg(
-        F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l")
-    )
-    text = F.array_join(F.transform("l", lambda x: F.concat(x["line"], F.lit("\n"))), "")
-    return tails.select("doc", (F.col("ordinal") + 1).alias("ordinal"), text.alias("prior_clean_tail"))
+    rows = _kept(clean).where(F.size("lines") > 0)
+    tail = F.slice("lines", F.greatest(F.lit(1), F.size("lines") - (n - 1)), n)
+    text = F.array_join(F.transform(tail, lambda x: F.concat(x, F.lit("\n"))), "")
+    return rows.select("doc", (F.col("ordinal") + 1).alias("ordinal"), text.alias("prior_clean_tail"))
 
 
 def merged_lines(clean: DataFrame) -> DataFrame:
