@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,21 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the executors' Python workers this package, once per Spark application, so that they can import it whatever
+    their path. Nothing is done where the package itself came as a zip."""
+    context, package = spark.sparkContext, Path(__file__).parent
+    if getattr(context, "_loomtree_shipped", False) or not package.is_dir():
+        return spark
+    archive = Path(tempfile.mkdtemp(prefix="loomtree-code-")) / "loomtree.zip"  # the driver serves it from here
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._loomtree_shipped = True
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
