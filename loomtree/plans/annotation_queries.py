@@ -93,6 +93,12 @@ def _ancestor_tops(s, d):
     return found.select("doc", F.col("node").alias("node_seq"), F.col("top.chunk_number").alias("top_chunk"), F.col("top.first_line").alias("top_line"))
 
 
+def _flat(frame):
+    """Lists of strings as one string, so that any two engines' results compare."""
+    lists = {c: F.array_join(c, "|") for c, kind in frame.dtypes if kind == "array<string>"}
+    return frame.withColumns(lists)
+
+
 def _issues(frame):
     return frame.select("doc", "chunk", "line_no", "severity", "code", "message")
 
@@ -173,7 +179,7 @@ def _gates(s, d):
 
 def _slices(s, d):
     rows = align.align(_pairs(s, d)).where("ok")
-    return rows.select("doc", "chunk", align.raw_context(F.col("raw"), F.col("cutoff_line")).alias("raw_context"), align.clean_tail(F.col("raw")).alias("clean_tail"))
+    return _flat(rows.select("doc", "chunk", align.raw_context(F.col("raw"), F.col("cutoff_line")).alias("raw_context"), align.clean_tail(F.col("raw")).alias("clean_tail")))
 
 
 def _previews(s, d):
@@ -196,8 +202,8 @@ def _size_warnings(s, d):
     return rows.select("plan_id", validate.token_size_warning(n, F.col("clean_token_target")).alias("warning")).where("warning IS NOT NULL")
 
 
-_NODE = "SELECT doc, chunk, line_no, node_seq, id, title, node_type, proves, deps, depth, eff_depth, parent_seq FROM nodes"
-_EVENT = "SELECT doc, chunk, line_no, event_type, id, depth, title, node_type, proves, deps FROM events"
+_NODE = "SELECT doc, chunk, line_no, node_seq, id, title, node_type, proves, array_to_string(deps, '|') AS deps, depth, eff_depth, parent_seq FROM nodes"
+_EVENT = "SELECT doc, chunk, line_no, event_type, id, depth, title, node_type, proves, array_to_string(deps, '|') AS deps FROM events"
 _WITH_TREE = (TEXTS, LINES, PARSED, NODES)
 _TRACED = "traced AS (SELECT *, coalesce(eff_depth < min(eff_depth) OVER (PARTITION BY doc ORDER BY node_seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), true) AS on_trace FROM nodes)"
 _BOUNDS = """own AS (SELECT doc, node_seq AS node, {'c': chunk, 'l': first_line} AS key FROM spans),
@@ -247,8 +253,8 @@ QUERIES = {
     "prs_2_cutoff": lambda s, d: annotations.cutoff_lines(_lines(s, d)),
     "prs_3_4_header_depth": _depths,
     "prs_5_attributes": _attributes,
-    "prs_6_7_8_events": lambda s, d: _parsed(s, d),
-    "prs_8_document_events": lambda s, d: _doc_events(s, d).drop("chunk"),
+    "prs_6_7_8_events": lambda s, d: _flat(_parsed(s, d)),
+    "prs_8_document_events": lambda s, d: _flat(_doc_events(s, d).drop("chunk")),
     "prs_9_10_11_defaults": lambda s, d: _stored(s, d).where("event_type = 'header'").select(
         "event_id", annotations.node_type_of(F.col("node_type")).alias("node_type"), annotations.title_of(F.col("title"), F.col("id")).alias("title"),
         annotations.declared_depth(F.col("depth")).alias("depth")),
@@ -276,9 +282,9 @@ QUERIES = {
     "tre_1_root": lambda s, d: tree.with_root(_nodes(s, d)),
     "tre_2_visible_roots": lambda s, d: tree.visible_roots(_nodes(s, d)).select("doc", "node_seq", "id"),
     "tre_3_has_nodes": lambda s, d: tree.visible_documents(_plans(s, d).withColumnRenamed("run_id", "doc"), _nodes(s, d)),
-    "tre_4_5_active_trace": lambda s, d: tree.active_trace(_nodes(s, d), include_root=True),
-    "tre_6_7_11_12_nodes": lambda s, d: _nodes(s, d),
-    "tre_6_7_stored_nodes": lambda s, d: _stored_nodes(s, d),
+    "tre_4_5_active_trace": lambda s, d: _flat(tree.active_trace(_nodes(s, d), include_root=True)),
+    "tre_6_7_11_12_nodes": lambda s, d: _flat(_nodes(s, d)),
+    "tre_6_7_stored_nodes": lambda s, d: _flat(_stored_nodes(s, d)),
     "tre_8_9_spans": lambda s, d: tree.content_spans(_parsed(s, d), _ends(s, d)),
     "tre_10_metrics": lambda s, d: tree.batch_metrics(_nodes(s, d), _ends(s, d)),
     "tre_13_14_19_registry": lambda s, d: tree.registry_issues(_kept_stored_nodes(s, d)),
@@ -365,13 +371,14 @@ CASE WHEN error_code IS NULL THEN 1.0::DOUBLE END AS confidence, k AS cleaned_to
 CASE WHEN error_code IS NULL THEN k END AS cutoff_token_count, least(20, n) AS min_cleaned_token_requirement FROM a"""),
     "aln_9_10_gates": query(*_T, _ALN, select="""SELECT doc, chunk, false AS low_confidence, coalesce(error_code IS NULL AND k < greatest(1, floor(n * 0.2)), false) AS early_cutoff,
 (CASE WHEN error_code IS NULL AND k >= greatest(1, floor(n * 0.2)) THEN 0 ELSE 1 END)::INT AS n_errors FROM a"""),
-    "aln_11_slices": query(*_T, _ALN, select="""SELECT a.doc, a.chunk, p[greatest(0, r[k].line - 5) + 1 : least(len(p), r[k].line + 2)] AS raw_context, p[greatest(1, len(p) - 4) : len(p)] AS clean_tail
+    "aln_11_slices": query(*_T, _ALN, select="""SELECT a.doc, a.chunk, array_to_string(p[greatest(0, r[k].line - 5) + 1 : least(len(p), r[k].line + 2)], '|') AS raw_context,
+array_to_string(p[greatest(1, len(p) - 4) : len(p)], '|') AS clean_tail
 FROM a JOIN parts ON parts.doc = a.doc AND parts.chunk = a.chunk WHERE error_code IS NULL"""),
     "tre_1_root": query(*_WITH_TREE, select="""SELECT doc, node_seq, id, title, parent_seq FROM nodes UNION ALL
 SELECT DISTINCT doc, 0, '__doc_root__', 'Document Root', NULL FROM nodes"""),
     "tre_2_visible_roots": query(*_WITH_TREE, select="SELECT doc, node_seq, id FROM nodes WHERE eff_depth = 1"),
     "tre_3_has_nodes": query(*_WITH_TREE, select="SELECT DISTINCT t.doc, t.doc IN (SELECT doc FROM nodes) AS has_nodes FROM texts t"),
-    "tre_4_5_active_trace": query(*_WITH_TREE, _TRACED, select="SELECT doc, list_concat(['__doc_root__'], list(id ORDER BY node_seq)) AS trace FROM traced WHERE on_trace GROUP BY doc"),
+    "tre_4_5_active_trace": query(*_WITH_TREE, _TRACED, select="SELECT doc, array_to_string(list_concat(['__doc_root__'], list(id ORDER BY node_seq)), '|') AS trace FROM traced WHERE on_trace GROUP BY doc"),
     "tre_6_7_11_12_nodes": query(*_WITH_TREE, select=_NODE),
     "tre_6_7_stored_nodes": query(STORED, NODES, select=_NODE),
     "tre_8_9_spans": query(*_WITH_TREE, SPANS, select="SELECT doc, chunk, node_seq, first_line, last_line FROM spans"),

@@ -160,7 +160,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc, chunk ORDER BY line_no DESC
     "src_8_memory": """SELECT DISTINCT p.run_id AS doc, p.ordinal, coalesce(m.memory_text, '') AS memory_text FROM batch_plans p
 LEFT JOIN (SELECT run_id, arg_max_null(memory_text, ordinal) AS memory_text FROM batch_contexts GROUP BY ALL) m USING (run_id)""",
     "src_9_final_merge": f"WITH {_CLEAN} SELECT doc, chunk AS ordinal, line_no, line FROM kept",
-    "src_10_file_order": """SELECT doc, 'clean_' || ordinal || '.md' AS name, row_number() OVER (PARTITION BY doc ORDER BY ordinal) AS place
+    "src_10_file_order": """SELECT doc, 'clean_' || ordinal || '.md' AS name, (row_number() OVER (PARTITION BY doc ORDER BY ordinal))::INT AS place
 FROM (SELECT DISTINCT run_id AS doc, ordinal FROM batch_plans)""",
     "ord_12_15_rule_1": _LOADED + "SELECT doc, node, parent FROM r1",
     "ord_13_14_rule_2": _LOADED + "SELECT doc, node, parent FROM r2",
