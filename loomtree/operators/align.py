@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomtree.functions.patterns import COMMENT, CONTENT_TOKEN, HEADER_LINE, MATH_BLOCK, MATH_INLINE
 from loomtree.operators.lines import split_lines
+from loomtree.session import ship
 
 # Tokens that a cleaned text must have, and the gates.
 LEAST_TOKENS, LEAST_CONFIDENCE, LEAST_SHARE = 20, 0.6, 0.2
@@ -43,6 +44,7 @@ def matching_blocks(cleaned: Column, raw: Column) -> Column:
 
 def align(pairs: DataFrame) -> DataFrame:
     """Adds to (…, cleaned, raw) the outcome of the alignment: ok, error_code, cutoff_line, confidence, token counts."""
+    ship(pairs.sparkSession)
     rows = pairs.withColumn("_c", content_tokens(F.col("cleaned"))).withColumn("_r", raw_tokens(F.col("raw")))
     n_c, n_r = F.size("_c"), F.size("_r")
     rows = rows.withColumn("least", F.least(F.lit(LEAST_TOKENS), n_r))

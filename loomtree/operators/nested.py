@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtree.functions.jsondoc import loads
+from loomtree.session import ship
 
 NODE_FIELDS = ("id", "title", "node_type", "proves_id")
 NUMBERS = ("chunk_number", "first_line", "last_line")
@@ -203,6 +204,7 @@ def flatten_trees(trees: DataFrame) -> DataFrame:
     dependencies may be one comma-separated string; empty ids name nothing; ids may be missing or repeated, as rows
     are linked by path; other columns are ignored.
     """
+    ship(trees.sparkSession)
     once = trees.select("tree_id", "run_id", "tree_json").where(F.col("tree_json").isNotNull()).distinct()
     return once.mapInArrow(_flatten, ROWS)
 
@@ -246,5 +248,6 @@ def _columns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shredded_columns(trees: DataFrame) -> DataFrame:
     """The columns themselves, one row per document and leaf path: a columnar store of the trees."""
+    ship(trees.sparkSession)
     once = trees.select("tree_id", "tree_json").where(F.col("tree_json").isNotNull()).distinct()
     return once.mapInArrow(_columns, LEVELS)

@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomtree.checkpoints import shared_folder
 from loomtree.functions.headers import header_rows
+from loomtree.session import ship
 
 NODES = "doc bigint, step int, line_no int, node_seq int, id string, title string, node_type string, eff_depth int, parent_seq int"
 STATE = "path array<int>, next_node int, next_step int, early string"
@@ -54,6 +55,7 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
 
 def fold_stream(batches: DataFrame) -> DataFrame:
     """Streaming nodes of streaming batches (doc, step, text), step counting a document's batches from 0."""
+    ship(batches.sparkSession)
     return batches.groupBy("doc").applyInPandasWithState(_fold, NODES, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
