@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtree.llm.arrow import emit, schema
+from loomtree.session import ship
 
 # Letters drawn the same as an ordinary Latin letter, then that letter.
 LOOK_ALIKES = {
@@ -141,6 +142,7 @@ def canonical_texts(docs: DataFrame) -> DataFrame:
 
     Defined results: null stays null and is not changed; empty text stays empty; other columns are ignored.
     """
+    ship(docs.sparkSession)
     to = schema(CANONICAL)
 
     def run(batches):
@@ -160,6 +162,7 @@ PRINTS = "doc_id bigint,look binary,exact binary"
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, look, exact): 128-bit digests of the consistent form and of the text itself; no row for null text."""
+    ship(docs.sparkSession)
     to = schema(PRINTS)
 
     def run(batches):

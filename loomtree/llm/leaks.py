@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from loomtree.llm.arrow import emit, schema
 from loomtree.llm.canonical import canonical
+from loomtree.session import ship
 
 #: Consecutive words that make a leak.
 WORDS = 12
@@ -100,7 +101,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, words: int = WORDS) ->
     items count once; an item that holds a shingle twice counts it once; empty tables give no rows; other columns are
     ignored. Runs two passes over documents per block of items: a count, when this is called, and the search.
     """
-    spark, to = docs.sparkSession, schema(LEAKS)
+    spark, to = ship(docs.sparkSession), schema(LEAKS)
     texts = items.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
     n = _blocks(texts)
     result = spark.createDataFrame([], LEAKS)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from loomtree.llm import tokens
 from loomtree.llm.arrow import emit, schema
+from loomtree.session import ship
 
 CAPACITY, SEGMENTS = 2048, 64
 #: Items per block: bounds the memory of a task (some 5 MB) and its time (about a second).
@@ -44,6 +45,7 @@ def sizes(
     no_loss: Callable[[str], str] = markup,
 ) -> DataFrame:
     """Items: see SIZES. Texts over a limit give full pieces and a rest; null and empty texts one item of 0."""
+    ship(docs.sparkSession)
     to, most_loss = schema(SIZES), capacity if loss_capacity is None else loss_capacity
 
     def rows(batches) -> Iterator[tuple]:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtree.llm.arrow import emit, schema
+from loomtree.session import ship
 
 #: Strongest first.
 KINDS = ("heading", "paragraph", "list item", "line", "sentence")
@@ -129,6 +130,7 @@ def split_oversized(plans: DataFrame, *, with_text: bool = True) -> DataFrame:
     overlap is 0, one not below the limit is taken as the limit less one; null text gives no piece, empty text one of
     no tokens; a plan delivered twice counts once; a stored token count is not used; other columns are ignored.
     """
+    ship(plans.sparkSession)
     rows = plans.select("plan_id", "raw_content", "clean_token_target", "overlap_tokens").where(
         F.col("raw_content").isNotNull()
     )
