@@ -72,12 +72,13 @@ def merge_intervals(
     # The reach before the next opening is where this period ends; the last opening of a block asks later blocks.
     opened = opened.select(*n, "block", "lo", "reach", F.lead("reach").over(inside).alias("end_here"))
     first_open = opened.groupBy(*n, "block").agg(F.min_by("reach", "lo").alias("first_reach"))
-    ahead = entity.orderBy("block").rowsBetween(1, W.unboundedFollowing)
+    # looking ahead is looking back in falling order: a frame that only grows is evaluated in one pass
+    ahead = entity.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
     whole = entity.orderBy("block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     later = _meet(carried.select(*n, "block", "through"), first_open, [*n, "block"], nulls, how="left").select(
         *n,
         "block",
-        F.coalesce(F.first("first_reach", ignorenulls=True).over(ahead), F.max("through").over(whole)).alias("end_later"),
+        F.coalesce(F.last("first_reach", ignorenulls=True).over(ahead), F.max("through").over(whole)).alias("end_later"),
     )
     periods = _meet(opened, later, [*n, "block"], nulls).withColumn("hi", F.coalesce("end_here", "end_later"))
     gap = F.struct(F.lit("gap").alias("kind"), (F.col("reach") + 1).alias("lo"), (F.col("lo") - 1).alias("hi"))

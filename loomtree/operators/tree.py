@@ -105,7 +105,7 @@ def on_active_trace(nodes_: DataFrame) -> DataFrame:
     after = W.partitionBy("doc", "chunk").orderBy(F.desc("node_seq")).rowsBetween(W.unboundedPreceding, -1)
     local = nodes_.withColumn("_low", F.min("eff_depth").over(after))
     chunks = nodes_.groupBy("doc", "chunk").agg(F.min("eff_depth").alias("_m"))
-    later = W.partitionBy("doc").orderBy("chunk").rowsBetween(1, W.unboundedFollowing)
+    later = W.partitionBy("doc").orderBy(F.desc("chunk")).rowsBetween(W.unboundedPreceding, -1)
     chunks = chunks.select(F.col("doc").alias("_d"), F.col("chunk").alias("_c"), F.min("_m").over(later).alias("_later"))
     on = (F.col("doc") == F.col("_d")) & (F.col("chunk") == F.col("_c"))
     joined = local.join(chunks, on)
