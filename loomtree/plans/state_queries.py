@@ -154,6 +154,9 @@ r2 AS (SELECT doc, node, parent FROM (SELECT n.doc, n.node, n.parent, lo, max(hi
 """
 ORACLES = {
     "src_3_snapshot": "SELECT run_id, coalesce(next_start_line, 0) AS next_start_line, coalesce(next_chunk_id, 0) AS next_chunk_id, coalesce(sections_completed, 0) AS sections_completed FROM parse_runs",
+    "src_4_tree_scan": _LOADED + """, num AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY list_transform(string_split(node, '.'), lambda x: x::INT))::INT AS s FROM nd)
+SELECT n.doc, n.s AS node_seq, n.id, coalesce(nullif(n.title, ''), n.id) AS title, coalesce(p.s, 0) AS parent_seq FROM num n LEFT JOIN num p ON p.doc = n.doc AND p.node = n.parent
+UNION ALL SELECT DISTINCT doc, 0, '__doc_root__', 'Document Root', NULL FROM nd""",
     "src_5_6_clean_batches": """SELECT DISTINCT run_id AS doc, ordinal, (run_id, ordinal) IN (SELECT (run_id, ordinal) FROM batch_contexts) AS has_clean FROM batch_plans""",
     "src_7_prior_clean_tail": f"""WITH {_CLEAN} SELECT doc, chunk + 1 AS ordinal, string_agg(line || chr(10), '' ORDER BY line_no) AS prior_clean_tail
 FROM (SELECT *, row_number() OVER (PARTITION BY doc, chunk ORDER BY line_no DESC) AS back FROM kept) WHERE back <= 5 GROUP BY ALL""",
