@@ -25,7 +25,31 @@ QUERIES = {
     "p8_canonical": lambda spark, d: canonical.canonical_texts(_docs(spark, d)),
 }
 
+def _canonical_sql(text: str) -> str:
+    """The consistent form for texts whose folded letters stand alone, as all in these tables do."""
+    wide = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+    blanks = dict.fromkeys("\t\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", " ")
+    folds = canonical.LOOK_ALIKES | canonical.HYPHENS | wide | blanks
+    sides = ("".join(folds).replace("'", "''"), "".join(folds.values()).replace("'", "''"))
+    out = f"translate({text}, '{sides[0]}', '{sides[1]}')"
+    for read, drawn in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        out = f"replace({out}, '{read}', '{drawn}')"
+    return f"nfc_normalize(regexp_replace({out}, '[\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}-\\x{{2064}}\\x{{feff}}]', '', 'g'))"
+
+
+_FORMS = f"forms AS (SELECT doc_id, text, {_canonical_sql('text')} AS look FROM documents WHERE text IS NOT NULL)"
+_SHINGLES = f"""words AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower({_canonical_sql('text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower({_canonical_sql('text')}), '[\\p{{L}}\\p{{N}}]+') FROM eval_items WHERE text IS NOT NULL),
+shingles AS (SELECT side, id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM words)),
+leaks AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM (SELECT DISTINCT id, s FROM shingles WHERE side = 'd') d
+  JOIN (SELECT DISTINCT id, s FROM shingles WHERE side = 'i') i USING (s))"""
+
 ORACLES = {
     "p3_found": r"""SELECT DISTINCT plan_id FROM batch_plans
 WHERE len(regexp_extract_all(raw_content, '[A-Za-z0-9]+|[^A-Za-z0-9 \t\n\r\f]')) > clean_token_target""",
+    "p7_found": f"WITH {_SHINGLES} SELECT doc_id, item_id FROM leaks",
+    "p8_found": f"""WITH {_FORMS} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM forms a JOIN forms b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    "p8_classes": f"""WITH {_FORMS} SELECT doc_id, min(doc_id) OVER c AS class_id, count(*) OVER c AS n_documents, n_texts
+FROM forms JOIN (SELECT look, count(DISTINCT text) AS n_texts FROM forms GROUP BY look) USING (look) WINDOW c AS (PARTITION BY look)""",
+    "p8_canonical": f"SELECT doc_id, {_canonical_sql('text')} AS canonical, {_canonical_sql('text')} IS DISTINCT FROM text AS changed FROM documents",
 }
