@@ -7,13 +7,15 @@ heaviest chain of candidates whose values rise with the pages. Letters that scan
 Headers and footers: a line is a *candidate* if it is no wrapped running text (it would have had room for the next
 word), no heading, formula or list line and no sentence end. A candidate is furniture if it carries a number of the
 sequence, if its letters fuzzily repeat those of another candidate, or if it stands at a page edge, that is beside a
-page number, a form feed or other furniture.
+page number, a form feed or other furniture, or inside a sentence that runs on over it. A line that is drawn as a title
+but has neither is *lone*: only the other texts of the same layout can tell what it is.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from difflib import SequenceMatcher
 
 # Letters read where a digit stands.
@@ -140,7 +142,7 @@ def _chain(found: list[tuple[int, int, str]]) -> set[tuple[int, str]]:
     return members
 
 
-def _letters(text: str) -> str:
+def letters(text: str) -> str:
     return re.sub(r"[\W\d_]+", "", text.lower())
 
 
@@ -160,17 +162,22 @@ def is_heading(s: str) -> bool:
 
 def furniture(lines: list[str]) -> dict[int, str]:
     """'header' or 'page_number' for each line (from 0) that is furniture."""
+    return told(lines)[0]
+
+
+def told(lines: list[str], known: Iterable[int] = ()) -> tuple[dict[int, str], list[int]]:
+    """The furniture, with ``known`` headers among it, and the lone lines: titles without page edge or repetition."""
     stripped = [x.strip() for x in lines]
     lengths = sorted(len(x.rstrip()) for x in lines if x.strip())
     if not lengths:
-        return {}
+        return {}, []
     width = lengths[min(len(lengths) - 1, int(len(lengths) * 0.93))]
     numbers = _numbers(stripped)
     members = _chain(numbers)
     romans = [i for i, value, form in numbers if form == "r" and value <= MOST_ROMAN]
     if any(len(stripped[i]) > 1 or (i, "r") in members for i in romans):
         members |= {(i, "r") for i in romans}
-    out: dict[int, str] = {}
+    out: dict[int, str] = dict.fromkeys(known, "header")
     for i, _, form in numbers:
         if form == "d" or form in "br" and (i, form) in members:
             out[i] = "page_number"
@@ -189,20 +196,20 @@ def furniture(lines: list[str]) -> dict[int, str]:
             continue  # running text, as most lines are
         if i not in out and (sure := _candidate(lines, stripped, i, following[i], width)) is not None:
             candidates[i] = sure
-    drawn = [i for i, sure in candidates.items() if sure and _drawn(stripped[i])]
-    out.update((i, "header") for i in drawn)
+    _edges(lines, stripped, following, width, candidates, out)
     open_ = {i: sure for i, sure in candidates.items() if i not in out}
-    repeated = _repeated(stripped, open_, [i for i, kind in out.items() if kind == "header"])
-    out.update((i, "header") for i in repeated if open_[i])
-    _edges(lines, stripped, {i: sure or i in repeated for i, sure in open_.items()}, out)
+    repeated = _repeated(stripped, open_, [i for i in {*candidates, *out} if out.get(i, "header") == "header"])
+    if repeated:
+        out.update((i, "header") for i in repeated if open_[i])
+        _edges(lines, stripped, following, width, {i: sure or i in repeated for i, sure in open_.items()}, out)
     _lone_numbers(lines, numbers, out)
-    return out
+    return out, [i for i, sure in open_.items() if sure and i not in out and _drawn(stripped[i])]
 
 
 def _repeated(stripped: list[str], candidates: dict[int, bool], known: list[int]) -> set[int]:
     """Candidates whose letters repeat those of another or of known furniture: anywhere exactly, nearby fuzzily."""
     order = sorted({*candidates, *known})
-    keys = [_letters(stripped[i]) for i in order]
+    keys = [letters(stripped[i]) for i in order]
     times = Counter(keys)
     tested: dict[tuple[str, str, float], bool] = {}
     found = set()
@@ -262,7 +269,7 @@ def _candidate(lines: list[str], stripped: list[str], i: int, following: int, wi
 
 
 def _drawn(s: str) -> bool:
-    """Furniture by its look alone: a title, or one with a number at its outer end."""
+    """Whether a line looks like furniture: a title, or one with a number at its outer end."""
     return _title(s) or bool(_LEADING.fullmatch(s) or _TRAILING.fullmatch(s))
 
 
@@ -277,22 +284,22 @@ def _title(s: str) -> bool:
     return "|" in s or _capitals(s) or bool(_CHAPTER.match(s)) or len(words) > 1 and all(w[0].isupper() for w in words)
 
 
-def _edges(lines: list[str], stripped: list[str], candidates: dict[int, bool], out: dict[int, str]) -> None:
+def _edges(
+    lines: list[str], stripped: list[str], following: list[int], width: int, candidates: dict[int, bool], out: dict[int, str]
+) -> None:
     """Sure or repeated candidates beside a page edge, and any that ends the text, until no more are found."""
-    filled = [i for i, s in enumerate(stripped) if s]
-    place = {i: n for n, i in enumerate(filled)}
+    preceding = {k: i for i, k in enumerate(following) if k >= 0 and stripped[i]}
     changed = True
     while changed:
         changed = False
         for i, sure in candidates.items():
             if i in out:
                 continue
-            n = place[i]
-            before = filled[n - 1] if n else None
-            after = filled[n + 1] if n + 1 < len(filled) else None
+            before, after = preceding.get(i), following[i] if following[i] >= 0 else None
             if sure:
                 edge = "\f" in lines[i] or before is None or before in out
                 edge = edge or after is not None and (after in out or "\f" in lines[after])
+                edge = edge or _within(lines, stripped, before, i, after, width)
             else:
                 edge = False
             # a title at the very end, behind furniture or alone
@@ -302,6 +309,18 @@ def _edges(lines: list[str], stripped: list[str], candidates: dict[int, bool], o
                 changed = True
 
 
+def _within(lines: list[str], stripped: list[str], before: int | None, i: int, after: int | None, width: int) -> bool:
+    """Whether a title that is no wrapped text stands inside a sentence, as only the end of a page puts it there."""
+    if before is None or after is None or not stripped[after][0].islower() or not _drawn(stripped[i]):
+        return False
+    s = stripped[before]
+    if not s[-1].isalnum() and s[-1] not in ",;" + _HYPHENS or is_heading(s) or _FORMULA.search(s) or _FORMULA.search(stripped[after]):
+        return False
+    room = width - len(lines[i].rstrip())
+    apart = "|" in stripped[i] or "  " in stripped[i] or _capitals(stripped[i]) or room >= ROOM
+    return apart and width - len(lines[before].rstrip()) < ROOM
+
+
 def _lone_numbers(lines: list[str], numbers: list[tuple[int, int, str]], out: dict[int, str]) -> None:
     """Without a sequence, a roman number counts, and a bare one beside furniture, a form feed or the end."""
     if any(kind == "page_number" for kind in out.values()):

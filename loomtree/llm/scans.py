@@ -3,11 +3,13 @@
 1. Every word of all texts is counted (``vocabulary``): halves of words broken over lines are left out.
 2. Wrong readings are found by word type, not by occurrence: a type is a misread form of another if undoing one
    scanner confusion gives a word at least ``RATIO`` times as frequent. One join of the vocabulary with itself.
-3. Each text is looked at once. Page furniture comes from ``pages.furniture``. A word broken at a line's end is joined
+3. Each text is looked at once, and the few with a lone title again. Page furniture comes from ``pages.furniture``. A word broken at a line's end is joined
    with the first word of the next line of running text; words that are not surely right become questions.
 4. The ``SURE_WORDS`` most frequent right words are broadcast as a filter of fixed size: they answer nearly all
    questions on the spot. What they cannot answer meets the whole vocabulary in one join, so nothing depends on how
    many words the filter holds.
+5. A lone title (``pages``) is a header if its letters fuzzily repeat a header or a lone title of another text of its
+   run. Only letters of titles travel for that: each run's headers in blocks, each block with all lone titles of the run.
 """
 
 from __future__ import annotations
@@ -16,12 +18,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtree.checkpoints import checkpointed
 from loomtree.llm.arrow import emit, schema
-from loomtree.llm.pages import furniture, is_heading
+from loomtree.llm.pages import alike, is_heading, letters, told
 from loomtree.session import ship
 
 # What a scanner reads, and what may stand on the page.
@@ -126,6 +129,9 @@ def lexicon(words: DataFrame, *, ratio: int = RATIO) -> DataFrame:
 
 
 ASKED = "context_id bigint,line_no int,kind string,slot string,form string,cost int,value string"
+TITLES = ASKED + ",run_id bigint"
+#: Headers of a run are set against its lone titles in so many blocks.
+BLOCKS = 16
 
 
 def _questionable(word: str, sure: dict[str, int]) -> bool:
@@ -146,10 +152,20 @@ class Seen:
             self.clear, self.doubtful = set(), set()
 
 
-def examine(text: str, sure: dict[str, int], seen: Seen) -> Iterator[tuple]:
-    """(line_no, kind, slot, form, cost, value): cost 2 is an answer, 0 and 1 forms that the lexicon must weigh."""
+def examine(text: str, sure: dict[str, int], seen: Seen, known: list[int] | None = None) -> Iterator[tuple]:
+    """(line_no, kind, slot, form, cost, value): cost 2 is an answer, 0 and 1 forms that the lexicon must weigh.
+
+    Without ``known``, the lines that other texts of the run have told to be headers, a text with lone titles gives only
+    its titles (kinds 'lone' and 'shown', the letters in slot) and itself (kind 'text').
+    """
     lines = text.split("\n")
-    kinds = furniture(lines)
+    kinds, lone = told(lines, known or ())
+    if known is None:
+        yield from ((0, "shown", key, None, 2, "") for key in {letters(lines[i]) for i, k in kinds.items() if k == "header"})
+        if lone:
+            yield 0, "text", "", None, 2, text
+            yield from ((i + 1, "lone", letters(lines[i]), None, 2, "") for i in lone)
+            return
     for i, kind in sorted(kinds.items()):
         yield i + 1, kind, "", None, 2, ""
     running = [i for i, line in enumerate(lines) if i not in kinds and line and not line.isspace()]
@@ -244,24 +260,63 @@ def scan_repairs(contexts: DataFrame) -> DataFrame:
     Defined results: null and empty texts have no repairs; lines end at line feeds only; a row delivered twice counts
     once; a word broken over lines whose next line is missing, or starts a new sentence, is no hyphen; with no
     evidence in the corpus a word keeps its hyphen only if both halves are words; ties go to the joined form; empty
-    tables give no rows; other columns are ignored. Counts words when called (one pass), then examines lazily.
+    tables give no rows; without a run_id no other text is of the same run; other columns are ignored. Counts words when called (one pass), then examines lazily.
     """
     words = checkpointed(lexicon(checkpointed(vocabulary(contexts))))
     sent = contexts.sparkSession.sparkContext.broadcast(_sure(words))
-    to = schema(ASKED)
+    to, titles_to = schema(ASKED), schema(TITLES)
 
-    def run(batches):
+    def first(batches):
         def rows():
             sure, seen = sent.value, Seen()
             for b in batches:
-                for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for ident, text, run in zip(*(b.column(i).to_pylist() for i in range(3))):
                     for row in examine(text, sure, seen):
+                        yield ident, *row, run if row[0] == 0 or row[1] == "lone" else None
+
+        yield from emit(rows(), titles_to)
+
+    def again(batches):
+        def rows():
+            sure, seen = sent.value, Seen()
+            for b in batches:
+                for ident, text, known in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    for row in examine(text, sure, seen, [n - 1 for n in known or []]):
                         yield ident, *row
 
         yield from emit(rows(), to)
 
-    texts = contexts.select("context_id", "raw_content").where(F.col("raw_content").isNotNull())
-    return _answers(texts.mapInArrow(run, ASKED), words)
+    run_id = F.col("run_id").cast("bigint") if "run_id" in contexts.columns else F.lit(None).cast("bigint")
+    texts = contexts.select("context_id", "raw_content", run_id.alias("run_id")).where(F.col("raw_content").isNotNull())
+    looked = checkpointed(texts.mapInArrow(first, TITLES))
+    known = _repeated_titles(looked).groupBy("context_id").agg(F.collect_set("line_no").alias("known"))
+    put_off = looked.where("kind = 'text'").select("context_id", F.col("value").alias("raw_content")).distinct()
+    late = put_off.join(known, "context_id", "left").select("context_id", "raw_content", "known").mapInArrow(again, ASKED)
+    return _answers(looked.where("kind NOT IN ('lone', 'shown', 'text')").drop("run_id").unionByName(late), words)
+
+
+def _repeated_titles(looked: DataFrame) -> DataFrame:
+    """(context_id, line_no) of the lone titles that repeat a title of another text of their run."""
+    titles = looked.where("kind IN ('lone', 'shown') AND run_id IS NOT NULL AND length(slot) >= 4")
+    lone = titles.where("kind = 'lone'").select("run_id", "context_id", "line_no", "slot").distinct()
+    keys = titles.join(lone.select("run_id").distinct(), "run_id", "left_semi").groupBy("run_id", "slot")
+    blocked = keys.agg(F.min("context_id").alias("least"), F.max("context_id").alias("most")).withColumn(
+        "block", F.pmod(F.hash("slot"), F.lit(BLOCKS))
+    )
+    asking = lone.join(blocked.select("run_id", "block").distinct(), "run_id")
+
+    def meet(left, right):
+        others = list(zip(*(right.column(c).to_pylist() for c in ("slot", "least", "most"))))
+        found = [
+            (ident, line)
+            for ident, line, key in zip(*(left.column(c).to_pylist() for c in ("context_id", "line_no", "slot")))
+            if any((least != ident or most != ident) and alike(key, other) for other, least, most in others)
+        ]
+        return pa.table({"context_id": pa.array([x for x, _ in found], "int64"), "line_no": pa.array([x for _, x in found], "int32")})
+
+    by = ("run_id", "block")
+    asking, blocked = (x.toDF(*x.columns) for x in (asking, blocked))  # columns of their own, as both come from titles
+    return asking.groupBy(*by).cogroup(blocked.groupBy(*by)).applyInArrow(meet, "context_id bigint, line_no int")
 
 
 REPAIRED = "context_id bigint,paragraph_no int,text string"

@@ -72,3 +72,20 @@ def test_long_text_takes_linear_time(spark):
     text = "\n".join(book(k)[0] for k in range(400))
     df = spark.createDataFrame([(1, text, "", "", 0, "")], CONTEXTS)
     assert scan_repairs(df).count() > 400 * 10
+
+
+def test_lone_titles_need_a_page_edge_or_a_repetition(spark):
+    body = ["a line of running text that is long enough to be full here.", "another line of running text that is quite as long."] * 4
+    for title in ("Measures and Integrals", "ON MEASURES", "Emmy Noether | Erlangen", "Open Filters      212"):
+        assert furniture([*body, "", title, "", *body]) == {}
+        assert furniture([*body, title, "- 12 -", *body])[8] == "header"
+        assert furniture([*body, title, *body, title, *body]) == {8: "header", 17: "header"}
+    cut = [*body, "a line of running text that is cut by the end of the page,", "Measures and Integrals", "and goes on in the next one.", *body]
+    assert furniture(cut) == {9: "header"}
+    lone = "\n".join([*body, "", "Measures and Integrals", "", *body])
+    noisy = "\n".join([*body, "Mcasures and Intcgrals", "- 12 -", *body])
+    rows = [(1, 1, lone), (2, 1, noisy), (3, 2, lone), (3, 2, lone), (4, None, lone), (5, None, noisy)]
+    df = spark.createDataFrame(rows, "context_id bigint, run_id bigint, raw_content string")
+    got = {(r.context_id, r.line_no) for r in scan_repairs(df).where("kind = 'header'").collect()}
+    assert got == {(1, 10), (2, 9), (5, 9)}
+    assert any("Measures and Integrals" in r.text for r in repaired_texts(df).where("context_id = 3").collect())
