@@ -1,8 +1,8 @@
 """Telling page furniture from running text in one scanned text.
 
 Page numbers: a line that is nothing but a decorated number ("- 12 -", "[12]", "Page 12") is one by its form. Bare and
-roman numbers, and numbers at the outer end of a line of furniture, are one only as members of a sequence: the
-heaviest chain of candidates whose values rise with the pages. Letters that scanners put for digits are read as digits.
+roman numbers, and numbers at the outer end of a line of furniture, are one only as members of a sequence: chains of
+candidates whose values rise with the pages, as many as there are. Letters that scanners put for digits are read as digits.
 
 Headers and footers: a line is a *candidate* if it is no wrapped running text (it would have had room for the next
 word), no heading, formula or list line and no sentence end. A candidate is furniture if it carries a number of the
@@ -51,6 +51,8 @@ NEAR = 64
 TITLE_WORDS, MOST_ROMAN = 6, 400
 #: Pages whose number is lost, at most, between two members of a sequence.
 LOST = 3
+#: Lines of a page, at most: numbers farther apart do not follow each other.
+PAGE = 200
 
 
 def _roman(text: str) -> int | None:
@@ -105,41 +107,54 @@ def _roman_or_none(text: str) -> int | None:
     return _roman(text) if re.fullmatch(_ROMAN, text) else None
 
 
-def _chain(found: list[tuple[int, int, str]]) -> set[tuple[int, str]]:
-    """The members of the heaviest sequence that rises by one a page, or by a few where numbers are lost.
+def _chains(found: list[tuple[int, int, str]]) -> set[tuple[int, str]]:
+    """The members of all sequences of two or more, the heaviest first: numbering may restart, or skip many pages."""
+    members: set[tuple[int, str]] = set()
+    while len(found) > 1 and (more := _disjoint(found)):
+        members |= {(found[k][0], found[k][2]) for k in more}
+        found = [x for k, x in enumerate(found) if k not in more]
+    return members
+
 
-    One pass: for each value and way of writing the best sequence that ends in it is kept.
+def _disjoint(found: list[tuple[int, int, str]]) -> set[int]:
+    """Members of disjoint sequences that rise by one a page, or by a few where numbers are lost.
+
+    One pass: for each value and way of writing the best sequence that ends in it is kept. Sequences are then taken by
+    falling weight, each back to its start or to a member of a heavier one, which it goes on if that is the last.
     """
     weight = {"d": 3.0, "h": 2.0, "r": 1.1, "b": 1.0}
     mates = {"r": ("r", "d"), "d": ("r", "d", "a"), "h": ("d", "a"), "b": ("d", "a")}
-    best: list[tuple[float, int, int]] = []
+    best: list[tuple[float, int]] = []
     ends: dict[tuple[int, str], int] = {}
     late: list[int] = []  # those of the current line, which cannot follow each other
     for j, (line, value, form) in enumerate(found):
         if late and found[late[0]][0] < line:
             for k in late:
                 at = (found[k][1], found[k][2] if found[k][2] in "rd" else "a")
-                if at not in ends or best[ends[at]][0] <= best[k][0]:
+                if at not in ends or best[ends[at]][0] <= best[k][0] or found[k][0] - found[ends[at]][0] > PAGE:
                     ends[at] = k
             late = []
-        top = (weight[form], -1, 1)
-        for step in range(1, LOST + 1):
+        top = (weight[form], -1)
+        for step in range(1, LOST + 2):
             for mate in mates[form]:
                 i = ends.get((value - step, mate))
-                if i is not None and value >= 0:
+                if i is not None and value >= 0 and line - found[i][0] <= step * PAGE:
                     total = best[i][0] + weight[form] - 0.4 * (step - 1)
                     if total > top[0]:
-                        top = (total, i, best[i][2] + 1)
+                        top = (total, i)
         best.append(top)
         late.append(j)
-    at = max(range(len(best)), key=lambda k: best[k][0], default=-1)
-    if at < 0 or best[at][2] < 2:
-        return set()
-    members = set()
-    while at >= 0:
-        members.add((found[at][0], found[at][2]))
-        at = best[at][1]
-    return members
+    taken: set[int] = set()
+    followed: set[int] = set()
+    for at in sorted(range(len(best)), key=lambda k: -best[k][0]):
+        chain = []
+        while at >= 0 and at not in taken:
+            chain.append(at)
+            at = best[at][1]
+        if len(chain) > 1 or chain and at >= 0 and at not in followed:
+            taken.update(chain)
+            followed.update(chain[1:], [at])
+    return taken
 
 
 def letters(text: str) -> str:
@@ -173,7 +188,7 @@ def told(lines: list[str], known: Iterable[int] = ()) -> tuple[dict[int, str], l
         return {}, []
     width = lengths[min(len(lengths) - 1, int(len(lengths) * 0.93))]
     numbers = _numbers(stripped)
-    members = _chain(numbers)
+    members = _chains(numbers)
     romans = [i for i, value, form in numbers if form == "r" and value <= MOST_ROMAN]
     if any(len(stripped[i]) > 1 or (i, "r") in members for i in romans):
         members |= {(i, "r") for i in romans}

@@ -89,3 +89,14 @@ def test_lone_titles_need_a_page_edge_or_a_repetition(spark):
     got = {(r.context_id, r.line_no) for r in scan_repairs(df).where("kind = 'header'").collect()}
     assert got == {(1, 10), (2, 9), (5, 9)}
     assert any("Measures and Integrals" in r.text for r in repaired_texts(df).where("context_id = 3").collect())
+
+
+def test_bare_numbers_restart_and_skip_pages():
+    page = ["a line of running text that is long enough here."] * 30
+    parts = [range(1, 41), range(1, 31), [*range(7, 20), *range(23, 30)], [*range(100, 110), *range(140, 150)], [51, 52, 56]]
+    lines, truth = [], []
+    for k, n in enumerate(n for part in parts for n in part):
+        lines += [*page, *([str(7000 - 300 * (k % 20))] if k % 3 == 0 else []), *page[:5], str(n)]
+        truth.append(len(lines) - 1)
+        lines += page[:4]
+    assert sorted(i for i, k in furniture(lines).items() if k == "page_number") == truth
