@@ -13,11 +13,14 @@ but has neither is *lone*: only the other texts of the same layout can tell what
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
+
 # Letters read where a digit stands.
 AS_DIGITS = str.maketrans("lI|OoSBZ", "11100582")
 _DIGITS = r"[0-9lI|OoSBZ]{1,4}"
@@ -45,8 +48,8 @@ ALIKE = 0.8
 SURE = 0.9
 #: Characters that running text leaves free at most at the end of a line.
 ROOM = 18
-#: Furniture repeats fuzzily within so many candidates before and behind.
-NEAR = 64
+#: So few distinct keys are compared without an index.
+FEW = 24
 #: Words of a title, and roman page numbers, at most.
 TITLE_WORDS, MOST_ROMAN = 6, 400
 #: Pages whose number is lost, at most, between two members of a sequence.
@@ -222,28 +225,74 @@ def told(lines: list[str], known: Iterable[int] = ()) -> tuple[dict[int, str], l
 
 
 def _repeated(stripped: list[str], candidates: dict[int, bool], known: list[int]) -> set[int]:
-    """Candidates whose letters repeat those of another or of known furniture: anywhere exactly, nearby fuzzily."""
-    order = sorted({*candidates, *known})
-    keys = [letters(stripped[i]) for i in order]
-    times = Counter(keys)
-    tested: dict[tuple[str, str, float], bool] = {}
-    found = set()
-    for n, i in enumerate(order):
-        key = keys[n]
-        if i not in candidates or len(key) < 4:
-            continue
-        if times[key] > 1:
-            found.add(i)
-            continue
-        least = ALIKE if candidates[i] else SURE
-        for other in dict.fromkeys(keys[max(0, n - NEAR) : n] + keys[n + 1 : n + 1 + NEAR]):
-            pair = (key, other, least)
-            if pair not in tested:
-                tested[pair] = alike(key, other, least)
-            if tested[pair]:
-                found.add(i)
-                break
-    return found
+    """Candidates whose letters repeat, but for noise, those of another or of known furniture, anywhere in the text."""
+    keys = {i: letters(stripped[i]) for i in {*candidates, *known}}
+    times = Counter(keys.values())
+    found = {i for i in candidates if len(keys[i]) >= 4 and times[keys[i]] > 1}
+    asking = {(keys[i], ALIKE if sure else SURE) for i, sure in candidates.items() if i not in found and len(keys[i]) >= 4}
+    if not asking:
+        return found
+    keeper = Keys(times)
+    alike_ = {ask for ask in asking if keeper.repeats(*ask)}
+    return found | {i for i, sure in candidates.items() if (keys[i], ALIKE if sure else SURE) in alike_}
+
+
+def _shared(n: int, least: float) -> int:
+    """Pairs of neighbouring letters that two keys of ``n`` letters together share at least if they are alike.
+
+    Of m common letters in order, each letter that the keys do not share parts at most one of the m - 1 pairs.
+    """
+    m = math.ceil(least * n / 2 - 1e-9)
+    return 3 * m - 1 - n
+
+
+def _pairs(key: str) -> list[tuple[str, int]]:
+    """The pairs of neighbouring letters, numbered where they repeat."""
+    times: Counter = Counter()
+    out = []
+    for k in range(len(key) - 1):
+        pair = key[k : k + 2]
+        out.append((pair, times[pair]))
+        times[pair] += 1
+    return out
+
+
+class Keys:
+    """Distinct keys that are asked for others like them; the filter before ``alike`` loses none.
+
+    Two alike keys share at least ``_shared`` pairs. The keys of each pair are listed, and a key's lists are counted
+    together, so only keys with enough pairs in common are compared.
+    """
+
+    def __init__(self, keys: Iterable[str]) -> None:
+        self.keys = list(dict.fromkeys(keys))
+        if len(self.keys) <= FEW:
+            return
+        lists: dict[tuple[str, int], list[int]] = {}
+        for k, key in enumerate(self.keys):
+            for x in _pairs(key):
+                lists.setdefault(x, []).append(k)
+        self.index = {x: np.array(found, np.int32) for x, found in lists.items()}
+        self.sizes = np.array([len(key) for key in self.keys])
+
+    def repeats(self, key: str, least: float = ALIKE) -> bool:
+        """Whether a key other than ``key`` is alike."""
+        return next(self.like(key, least), None) is not None
+
+    def like(self, key: str, least: float = ALIKE) -> Iterator[str]:
+        """The keys other than ``key`` that are alike."""
+        near: Iterable[str] = self.keys
+        if len(self.keys) > FEW:
+            lists = [self.index[x] for x in _pairs(key) if x in self.index]
+            if not lists:
+                return
+            counts = np.bincount(np.concatenate(lists), minlength=len(self.keys))
+            some = np.flatnonzero(counts)
+            need = [max(1, _shared(n, least)) for n in range(len(key), len(key) + int(len(key) / least) + 2)]
+            more = self.sizes[some]
+            some, more = some[more < len(need)], more[more < len(need)]
+            near = [self.keys[k] for k in some[counts[some] >= np.array(need)[more]]]
+        yield from (other for other in near if other != key and alike(key, other, least))
 
 
 def _candidate(lines: list[str], stripped: list[str], i: int, following: int, width: int) -> bool | None:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loomtree.checkpoints import checkpointed
 from loomtree.llm.arrow import emit, schema
-from loomtree.llm.pages import alike, is_heading, letters, told
+from loomtree.llm.pages import Keys, is_heading, letters, told
 from loomtree.session import ship
 
 # What a scanner reads, and what may stand on the page.
@@ -306,12 +306,13 @@ def _repeated_titles(looked: DataFrame) -> DataFrame:
     asking = lone.join(blocked.select("run_id", "block").distinct(), "run_id")
 
     def meet(left, right):
-        others = list(zip(*(right.column(c).to_pylist() for c in ("slot", "least", "most"))))
-        found = [
-            (ident, line)
-            for ident, line, key in zip(*(left.column(c).to_pylist() for c in ("context_id", "line_no", "slot")))
-            if any((least != ident or most != ident) and alike(key, other) for other, least, most in others)
-        ]
+        asked: dict[str, list[tuple[int, int]]] = {}
+        for ident, line, key in zip(*(left.column(c).to_pylist() for c in ("context_id", "line_no", "slot"))):
+            asked.setdefault(key, []).append((ident, line))
+        keys, found = Keys(asked), set()
+        for other, least, most in zip(*(right.column(c).to_pylist() for c in ("slot", "least", "most"))):
+            for key in (*keys.like(other), *([other] if other in asked else [])):
+                found |= {(ident, line) for ident, line in asked[key] if least != ident or most != ident}
         return pa.table({"context_id": pa.array([x for x, _ in found], "int64"), "line_no": pa.array([x for _, x in found], "int32")})
 
     by = ("run_id", "block")

@@ -2,7 +2,7 @@
 
 import random
 
-from loomtree.llm.pages import furniture
+from loomtree.llm.pages import Keys, alike, furniture
 from loomtree.llm.scans import repair, repaired_texts, scan_repairs
 
 CONTEXTS = "context_id bigint, raw_content string, kind string, fixed string, n int, word string"
@@ -100,3 +100,20 @@ def test_bare_numbers_restart_and_skip_pages():
         truth.append(len(lines) - 1)
         lines += page[:4]
     assert sorted(i for i, k in furniture(lines).items() if k == "page_number") == truth
+
+
+def test_fuzzy_repetition_has_no_window():
+    rnd = random.Random(5)
+    verse = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(8, 14)))
+    wide = "a line of running text that is long enough to tell the width of this page."
+    short = [x for _ in range(300) for x in (wide, verse().capitalize())]
+    lines = [*short, wide, "Ordinals and Lattices", *short[:400], wide, "Ordina1s and Latticcs", wide, *short[400:]]
+    told = furniture(lines)
+    assert told.get(601) == "header" and told.get(601 + 402) == "header"
+    for letters_ in ("ab", "abcdefgh"):
+        keys = sorted({"".join(rnd.choice(letters_) for _ in range(rnd.randint(4, 12))) for _ in range(250)})
+        keys += [k[:3] + "x" + k[4:] for k in keys[::3]]
+        index = Keys(keys)
+        for key in keys:
+            for least in (0.8, 0.9):
+                assert set(index.like(key, least)) == {o for o in keys if o != key and alike(key, o, least)}
