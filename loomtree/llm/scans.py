@@ -153,7 +153,8 @@ class Seen:
 
 
 def examine(text: str, sure: dict[str, int], seen: Seen, known: list[int] | None = None) -> Iterator[tuple]:
-    """(line_no, kind, slot, form, cost, value): cost 2 is an answer, 0 and 1 forms that the lexicon must weigh.
+    """(line_no, kind, slot, form, cost, value): cost 2 is an answer, 0 and 1 forms that the lexicon must weigh,
+    3 and 4 the halves of a word, which must both be right words if it is to keep its hyphen (form null: it is one).
 
     Without ``known``, the lines that other texts of the run have told to be headers, a text with lone titles gives only
     its titles (kinds 'lone' and 'shown', the letters in slot) and itself (kind 'text').
@@ -209,8 +210,12 @@ def _joined(line: int, head: str, tail: str, sure: dict[str, int]) -> Iterator[t
         yield line, "hyphen", whole, None, 2, whole if weight[whole] >= weight[hyphened] else hyphened
         return
     parts = [w for w in (head.split("-")[-1], tail.split("-")[0])]
-    apart = all(len(w) >= 3 and (w in sure or w.lower() in sure) for w in parts)
-    yield line, "hyphen", whole, None, 2, hyphened if apart else whole
+    yield line, "hyphen", whole, None, 2, whole
+    if all(len(w) >= 3 for w in parts):
+        for cost, part in zip((3, 4), parts):
+            known = part in sure or part.lower() in sure
+            for form in {None} if known else {part, part.lower()}:
+                yield line, "hyphen", whole, form, cost, hyphened
     for value in (whole, hyphened):
         for form in {value, value.lower()}:
             yield line, "hyphen", whole, form, 0, value
@@ -237,6 +242,10 @@ def _answers(asked: DataFrame, words: DataFrame) -> DataFrame:
         chosen = F.when((F.col("cost") == cost) & (F.col("n") > 0), F.struct("n", F.col("value").alias("v")))
         return F.max(chosen)[what]
 
+    def half(cost: int) -> Column:
+        word = F.col("form").isNull() | (F.col("n") > 0) & F.col("reading").isNull()
+        return F.max(F.when((F.col("cost") == cost) & word, F.col("value")))
+
     found = joined.groupBy("context_id", "line_no", "kind", "slot").agg(
         F.max("reading").alias("reading"),
         best(0, "n").alias("n0"),
@@ -244,12 +253,14 @@ def _answers(asked: DataFrame, words: DataFrame) -> DataFrame:
         best(1, "n").alias("n1"),
         best(1, "v").alias("v1"),
         F.max(F.when(F.col("cost") == 2, F.col("value"))).alias("given"),
+        half(3).alias("first"),
+        half(4).alias("second"),
     )
     seen = F.greatest(F.coalesce("n0", F.lit(0)), F.lit(1))
     fixed = (
         F.when(F.col("kind") == "misread", F.col("reading"))
         .when(F.col("n1") >= seen * RATIO, F.col("v1"))
-        .otherwise(F.coalesce("v0", "given"))
+        .otherwise(F.coalesce("v0", F.when(F.col("first").isNotNull(), F.col("second")), "given"))
     )
     return found.select("context_id", "line_no", "kind", fixed.alias("fixed")).where(F.col("fixed").isNotNull()).distinct()
 

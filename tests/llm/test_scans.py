@@ -2,6 +2,7 @@
 
 import random
 
+from loomtree.llm import scans
 from loomtree.llm.pages import Keys, alike, furniture
 from loomtree.llm.scans import repair, repaired_texts, scan_repairs
 
@@ -117,3 +118,12 @@ def test_fuzzy_repetition_has_no_window():
         for key in keys:
             for least in (0.8, 0.9):
                 assert set(index.like(key, least)) == {o for o in keys if o != key and alike(key, o, least)}
+
+
+def test_halves_of_words_do_not_depend_on_the_filter(spark, monkeypatch):
+    text = "The kernel of the quasi norm, a matrix and a tensor.\nLet the quasi-\ntensor be a kernel-\nquasi of the mat-\nrixes."
+    df = spark.createDataFrame([(1, text)], "context_id bigint, raw_content string")
+    for most in (65_536, 1, 0):
+        monkeypatch.setattr(scans, "SURE_WORDS", most)
+        got = {r.fixed for r in scan_repairs(df).where("kind = 'hyphen'").collect()}
+        assert got == {"quasi-tensor", "kernel-quasi", "matrixes"}
