@@ -6,6 +6,10 @@ from loomtree.llm import canonical, leaks, packing, scans, split
 from loomtree.session import table
 
 
+#: Below the token capacity, so that it binds: three quarters of it.
+LOSS_LIMIT = 1_536
+
+
 def _docs(spark, d):
     return table(spark, d, "documents")
 
@@ -17,6 +21,7 @@ QUERIES = {
     "p5_paragraphs": lambda spark, d: scans.repaired_texts(table(spark, d, "batch_contexts")),
     "p6_packed": lambda spark, d: packing.packed(_docs(spark, d)),
     "p6_containers": lambda spark, d: packing.containers(packing.packed(_docs(spark, d))),
+    "p6_loss_limited": lambda spark, d: packing.packed(_docs(spark, d), loss_capacity=LOSS_LIMIT),
     "p7_found": lambda spark, d: leaks.leaked_passages(_docs(spark, d), table(spark, d, "eval_items")).select("doc_id", "item_id"),
     "p7_passages": lambda spark, d: leaks.leaked_passages(_docs(spark, d), table(spark, d, "eval_items")),
     "p7_report": lambda spark, d: leaks.leak_report(_docs(spark, d), table(spark, d, "eval_items")),

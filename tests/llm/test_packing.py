@@ -61,3 +61,11 @@ def test_texts_are_whole_unless_they_exceed_a_container(spark):
     assert packed(df.limit(0)).count() == 0
     tight = packed(df, loss_capacity=500).groupBy("container_id").sum("loss_tokens").collect()
     assert max(r[1] for r in tight if r[0] is not None) <= 500
+
+
+def test_the_limited_query_is_held_by_its_loss_limit(spark):
+    from loomtree.llm.queries import LOSS_LIMIT, QUERIES
+
+    rows = containers(QUERIES["p6_loss_limited"](spark, "/root/testdata/sf0.001")).collect()
+    assert rows and all(r.n_tokens <= 2048 and r.n_segments <= 64 and r.loss_tokens <= LOSS_LIMIT for r in rows)
+    assert any(r.loss_tokens > LOSS_LIMIT - 16 and r.unused > 0 for r in rows)
