@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one if that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one, but only for a master that runs on
+    this machine alone: on a cluster no executor would find it, so there it is an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtree-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomtree-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -19,3 +23,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and read again from the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def removed_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

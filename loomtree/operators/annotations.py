@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtree.functions.patterns import ATTRIBUTE, CUTOFF, HEADER, NODE_TYPES, SPACE
+from loomtree.operators.lines import split_lines
 
 
 def strip(text: Column) -> Column:
@@ -91,6 +92,25 @@ def parse_events(lines: DataFrame) -> DataFrame:
     )
 
 
+def header_array(text: Column) -> Column:
+    """The headers of one text in order, defaults filled in: array of (line_no, id, title, node_type, depth).
+
+    ``parse_events`` for a single row: nothing is shuffled and no window is needed, so a stream can use it too.
+    """
+    numbered = F.transform(split_lines(text), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
+    marked = F.filter(numbered, lambda x: is_header(x["line"]) | is_cutoff(x["line"]))
+    cuts = F.transform(F.filter(marked, lambda x: is_cutoff(x["line"])), lambda x: x["n"])
+    heads = F.filter(marked, lambda x: is_header(x["line"]) & (F.array_min(cuts).isNull() | (x["n"] < F.array_min(cuts))))
+    read = F.transform(heads, lambda x: F.struct(
+        x["n"].alias("n"), header_depth(x["line"]).alias("depth"), attribute_map(F.regexp_extract(x["line"], HEADER, 2)).alias("given")
+    ))
+    kept = F.filter(read, lambda x: F.coalesce(x["given"]["id"], F.lit("")) != "")
+    return F.transform(kept, lambda x: F.struct(
+        x["n"].alias("line_no"), x["given"]["id"].alias("id"), title_of(x["given"]["title"], x["given"]["id"]).alias("title"),
+        node_type_of(x["given"]["type"]).alias("node_type"), declared_depth(x["depth"]).alias("depth"),
+    ))
+
+
 def node_type_of(value: Column) -> Column:
     """Unknown and missing types count as 'generic'."""
     return F.when(value.isin(NODE_TYPES), value).otherwise(F.lit("generic"))
