@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Lines folded in one task at most; longer documents are cut in blocks whose state is carried on.
+from loomtree.functions import bpe
+from loomtree.operators.lines import file_lines, with_carry
+from loomtree.session import ship
+
+#: Lines of a document summed by one task.
+LINES_A_BLOCK = 1 << 16
+
+#: Any expression that gives the number of tokens of a text.
 TokenCounter = Callable[[Column], Column]
 
 
@@ -20,6 +29,39 @@ def char_count(text: Column) -> Column:
     return F.length(text)
 
 
+def bpe_count(spark: SparkSession, path: str = bpe.RANKS) -> TokenCounter:
+    """The counter of a public byte-level tokenizer, in Arrow batches; its rank file is sent along."""
+    name = bpe.shipped(ship(spark), path)
+
+    def count(texts: pd.Series) -> pd.Series:
+        encode = bpe.encoding(name).encode_ordinary
+        return pd.Series([None if t is None else len(encode(t)) for t in texts], dtype="Int64")
+
+    return F.pandas_udf(count, "bigint")
+
+
+def numbered_lines(texts: DataFrame, counter: TokenCounter = word_count) -> DataFrame:
+    """(doc, at, line, upto) of texts (doc, text): lines from 0 with their line ends, and the tokens before each.
+
+    Computed once per document, so that any batch of it can be read without the rest: one that starts where ``s`` tokens
+    are behind takes the lines with ``upto < s + budget``. The sums are made per block of lines and completed with one
+    row per block, so no task holds a whole document's lines.
+    """
+    normal = F.regexp_replace(F.col("text"), r"\r\n|\r", "\n")
+    rows = texts.where(F.col("text").isNotNull()).select("doc", normal.alias("t"))
+    split = rows.select("doc", F.col("t").endswith("\n").alias("ended"), F.explode(F.array(file_lines(F.col("t")))).alias("p"))
+    each = split.select("doc", "ended", F.size("p").alias("n"), F.posexplode("p").alias("at", "x"))
+    line = F.when((F.col("at") + 1 < F.col("n")) | F.col("ended"), F.concat("x", F.lit("\n"))).otherwise(F.col("x"))
+    counted = each.select("doc", F.col("at").cast("bigint").alias("at"), line.alias("line"))
+    counted = counted.select("*", counter(F.col("line")).cast("bigint").alias("n"), F.floor(F.col("at") / LINES_A_BLOCK).alias("chunk"))
+    inside = W.partitionBy("doc", "chunk").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    summed = with_carry(
+        counted.withColumn("here", F.coalesce(F.sum("n").over(inside), F.lit(0))), {"total": F.sum("n")},
+        [("before", lambda earlier: F.coalesce(F.sum("total").over(earlier), F.lit(0)))],
+    )
+    return summed.select("doc", "at", "line", (F.col("here") + F.col("before")).alias("upto"), "n")
+
+
 def plan_batches(texts: DataFrame, doc: str, text: str, budget: int | Column, counter: TokenCounter = word_count) -> DataFrame:
     """Greedy batches of each document: (doc, ordinal, chunk_id, start_line, end_line, raw_content, raw_line_count,
     raw_token_count, clean_token_target).
@@ -28,8 +70,6 @@ def plan_batches(texts: DataFrame, doc: str, text: str, budget: int | Column, co
     least. Its own token count is that of the joined text. The greedy walk depends on every line before, so it is a
     fold over one document's line counts; documents are independent tasks.
     """
-    from loomtree.operators.lines import file_lines
-
     # Line ends stay with their lines; a last line without one stays as it is.
     limit = F.lit(budget) if isinstance(budget, int) else budget
     normal = F.regexp_replace(F.col(text), r"\r\n|\r", "\n")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtree.checkpoints import checkpointed
+from loomtree.functions.patterns import ROOT_ID
 from loomtree.operators import align, annotations, lines, preview, segment, tree, validate
 
 # What the tools answer.
@@ -49,26 +50,28 @@ def _messages(issues: DataFrame) -> DataFrame:
 
 
 def submit(
-    batches: DataFrame, known: DataFrame | None = None, counter: segment.TokenCounter = segment.word_count
+    batches: DataFrame, known: DataFrame | None = None, counter: segment.TokenCounter = segment.word_count, *, draw: bool = True
 ) -> DataFrame:
     """Judges (doc, raw, cleaned, clean_token_target), a row per session: (doc, valid, errors, warnings,
     inferred_cutoff_batch_line, match_confidence, raw_context_around_cutoff, clean_tail, proposed_tree).
 
-    ``known``: (doc, chunk, line_no, id, depth, ...) events of earlier chunks (chunk < 0), the tree so far.
+    ``known``: (doc, chunk, line_no, id, depth, ...) events of earlier chunks (chunk < 0), the tree so far. Without
+    ``draw`` the proposed tree is left empty and earlier nodes are only looked up by id.
     """
     texts = batches.select("doc", F.lit(0).alias("chunk"), "cleaned")
     rows = lines.text_lines(texts, "doc", "chunk", "cleaned")
-    events = annotations.parse_events(rows)
-    every = checkpointed(events if known is None else events.unionByName(known))
+    events = checkpointed(annotations.parse_events(rows))
+    every = events if known is None else checkpointed(events.unionByName(known))
     issues = validate.validate(every, rows).where(F.col("chunk") == 0)
     none = F.array().cast("array<string>")
-    nodes = checkpointed(tree.nodes(every))
-    broken = tree.registry_issues(nodes).where(F.col("issue") != "duplicate id")
-    broken = broken.groupBy("doc").agg(F.min_by(F.struct("id", "issue"), "node_seq").alias("b"))
+    proof = annotations.node_type_of(F.col("node_type")) == "proof"
+    issue = F.when(F.col("id") == ROOT_ID, "id of the root").when(F.col("proves").isNotNull() & ~proof, "proves on non-proof")
+    broken = events.where("event_type = 'header'").withColumn("issue", issue).where(F.col("issue").isNotNull())
+    broken = broken.groupBy("doc").agg(F.min_by(F.struct("id", "issue"), "line_no").alias("b"))
     why = F.when(F.col("b.issue") == "id of the root", F.concat(F.lit("Node with id '"), F.col("b.id"), F.lit("' is already registered."))).otherwise(
         F.concat(F.lit("Node '"), F.col("b.id"), F.lit("' has proves_id but is not a proof node."))
     )
-    proposed = preview.tree_preview(nodes)
+    proposed = preview.tree_preview(checkpointed(tree.nodes(every))) if draw else texts.select("doc", F.lit("").alias("preview"))
     aligned = align.align(batches)
     joined = aligned.join(_messages(issues), "doc", "left").join(proposed, "doc", "left").join(broken, "doc", "left")
     before = F.concat(F.coalesce("v_errors", none), align.alignment_errors(aligned))

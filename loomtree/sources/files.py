@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtree.operators.lines import text_lines
+from loomtree.sources.tables import latest
 
-SNAPSHOT = "next_start_line BIGINT, next_chunk_id INT, sections_completed INT"
+SNAPSHOT = "doc STRING, next_start_line BIGINT, next_chunk_id INT, sections_completed INT"
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,22 @@ class StateDir:
     def commits(self) -> str:
         return self.at("commits")
 
+    @property
+    def lines(self) -> str:
+        return self.at("lines")
+
+    @property
+    def documents(self) -> str:
+        return self.at("documents")
+
+
+def read_table(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:
+    """A table of the state directory, empty if it was never written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).format(form).load(path)
+
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): whole files."""
@@ -73,10 +90,10 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, state: StateDir) -> DataFrame:
-    """The saved cursors; sections_completed may be missing in old files, the other two must be there."""
-    rows = read_json(spark, state.snapshot, SNAPSHOT)
+    """The saved cursors of each document; sections_completed may be missing in old files, the other two must be there."""
+    rows = read_table(spark, state.snapshot, SNAPSHOT + ", written_at TIMESTAMP", "json")
     need = [F.when(F.col(c).isNull(), F.raise_error(F.lit(f"snapshot without {c}"))).otherwise(F.col(c)).alias(c) for c in ("next_start_line", "next_chunk_id")]
-    return rows.select(*need, F.coalesce("sections_completed", F.lit(0)).alias("sections_completed"))
+    return latest(rows, "doc").select("doc", *need, F.coalesce("sections_completed", F.lit(0)).alias("sections_completed"))
 
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,13 @@ from loomtree.functions.patterns import CUTOFF_LITERAL
 from loomtree.operators.lines import file_lines
 
 
+def latest(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of rows written more than once (the same keys) the last by ``written_at``."""
+    rest = [c for c in rows.columns if c not in (*keys, "written_at")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.coalesce("written_at", F.timestamp_seconds(F.lit(0)))).alias("r"))
+    return last.select(*keys, *[F.col("r")[c].alias(c) for c in rest])
+
+
 def _kept(clean: DataFrame) -> DataFrame:
     """(doc, ordinal, lines): the file lines of clean texts before the first that holds the literal cutoff marker."""
     rows = clean.where(F.col("text").isNotNull()).select("doc", "ordinal", F.explode(F.array(file_lines(F.col("text")))).alias("l"))
