@@ -1,45 +1,53 @@
-"""A Bloom filter as Catalyst expressions: built by a distributed aggregate, used as a scalar subquery."""
+"""A Bloom filter as a table: built by aggregates, asked by an equi-join, both from public functions only.
+
+A key sets four bits of one 64-bit word. Words lie in rows of ``ROW`` of them, so the filter is split by hash: a small one
+is broadcast, a large one meets the keys that ask by the hash of their row, and no task or driver ever needs the whole.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Spark caps a filter at 2**26 bits (spark.sql.optimizer.runtime.bloomFilter.maxNumBits).
-MAX_BITS = 1 << 26
+#: Words in a row of the table: 8 KB.
+ROW = 1024
+#: Bits set aside for a key: some three in a hundred keys that are not in the filter pass it.
+BITS_A_KEY = 12
+#: A larger filter is not broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
-def _expression(spark, col: Column):
-    return spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(col._jc)
+def n_rows(keys: int) -> int:
+    """Rows of a filter for so many keys."""
+    return max(1, -(-keys * BITS_A_KEY // (64 * ROW)))
 
 
-def _column(spark, expression) -> Column:
-    from pyspark.sql.classic.column import Column as ClassicColumn
+def _word(hashed: Column, rows: int) -> Column:
+    return F.pmod(hashed, F.lit(rows * ROW))
 
-    return ClassicColumn(spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
 
+def _mask(hashed: Column) -> Column:
+    """Four of 64 bits, from another hash than the word's."""
+    again = F.xxhash64(hashed)
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(again, 6 * k).bitwiseAND(63).cast("int")) for k in range(4)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
 
-def bloom_filter(keys: DataFrame, hashed: Column, items: int, bits: int) -> Column:
-    """A scalar subquery holding the filter of ``hashed`` (a BIGINT hash) over all rows of ``keys``.
 
-    Its size is ``bits`` whatever the number of keys: with more keys it lets more through, never fewer.
-    """
-    if not 0 < bits <= MAX_BITS:
-        raise ValueError(f"bits must be in 1..{MAX_BITS}")
+def bloom_table(keys: DataFrame, hashed: Column, rows: int) -> DataFrame:
+    """(bloom_row, bloom_words): the filter of ``hashed`` (a BIGINT hash) over all rows of ``keys``; every word is there."""
     spark = keys.sparkSession
-    catalyst = spark._jvm.org.apache.spark.sql.catalyst.expressions
-    agg = catalyst.aggregate.BloomFilterAggregate(
-        _expression(spark, hashed),
-        _expression(spark, F.lit(items).cast("long")),
-        _expression(spark, F.lit(bits).cast("long")),
-    )
-    return keys.agg(_column(spark, agg.toAggregateExpression()).alias("bloom")).scalar()
-
-
-def might_contain(df: DataFrame, bloom: Column, hashed: Column) -> Column:
-    """False only where ``hashed`` is certainly not in the filter; null where the filter is empty."""
-    spark = df.sparkSession
-    test = spark._jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(
-        _expression(spark, bloom), _expression(spark, hashed)
-    )
-    return _column(spark, test)
+    every = spark.range(rows * ROW).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("m"))
+    words = keys.select(_word(hashed, rows).alias("w"), _mask(hashed).alias("m")).unionByName(every).groupBy("w").agg(F.bit_or("m").alias("m"))
+    listed = F.sort_array(F.collect_list(F.struct("w", "m")))
+    return words.groupBy(F.floor(F.col("w") / ROW).alias("bloom_row")).agg(F.transform(listed, lambda x: x["m"]).alias("bloom_words"))
+
+
+def with_maybe(df: DataFrame, bloom: DataFrame, hashed: Column, rows: int, name: str = "maybe") -> DataFrame:
+    """``df`` with ``name``: false only where ``hashed`` is certainly not among the filter's keys, or is null."""
+    asked = df.withColumn("bloom_at", F.coalesce(_word(hashed, rows), F.lit(0).cast("bigint"))).withColumn("bloom_mask", _mask(hashed))
+    asked = asked.withColumn("bloom_row", F.floor(F.col("bloom_at") / ROW))
+    small = rows * ROW * 8 <= BROADCAST_BYTES
+    met = asked.join(F.broadcast(bloom) if small else bloom, "bloom_row")
+    word = F.get("bloom_words", F.pmod("bloom_at", F.lit(ROW)).cast("int"))
+    hit = F.coalesce(word.bitwiseAND(F.col("bloom_mask")) == F.col("bloom_mask"), F.lit(False))
+    return met.withColumn(name, hit & hashed.isNotNull()).drop("bloom_row", "bloom_at", "bloom_mask", "bloom_words")

@@ -1,12 +1,13 @@
 """References to records that are missing, come later or were deleted.
 
 1. Every header's ``deps`` and ``proves`` become (event, field, target) references, distinct per event.
-2. A Bloom filter of the parents' (run_id, id) hashes, fixed in size, is built by one distributed aggregate and
-   handed to the scan as a scalar subquery: references it rejects are definite orphans and are never shuffled.
-3. The rest meets the parents in one exact join on (run_id, id). Parents are reduced first, with partial
-   aggregation, to one row per key: the earliest place of its header and the earliest chunk of its removal. A hot
-   target is split by adaptive skew join, as nothing is aggregated between the shuffle and the join.
-4. Events delivered twice give equal results, so the few rows that remain are made distinct, not the input.
+2. Parents are reduced, with partial aggregation, to one row per (run_id, id): the earliest place of its header and the
+   earliest chunk of its removal. They are written once, counted, and a Bloom filter sized by their number is made.
+3. References that the filter rejects are definite orphans. A filter of ``bloom.BROADCAST_BYTES`` at most is broadcast, and
+   what it rejects is never shuffled; a larger one, split by hash, meets the references in a join of its own.
+4. The rest meets the parents in one exact join on (run_id, id). A hot target is split by adaptive skew join, as nothing
+   is aggregated between the shuffle and the join.
+5. Events delivered twice give equal results, so the few rows that remain are made distinct, not the input.
 """
 
 from __future__ import annotations
@@ -14,10 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtree.functions.bloom import bloom_filter, might_contain
-
-#: 1 MB; about 8 bits a key up to a million keys.
-BLOOM_BITS = 1 << 23
+from loomtree.checkpoints import checkpointed
+from loomtree.functions.bloom import bloom_table, n_rows, with_maybe
 
 
 def _key(run: str, ident: str) -> Column:
@@ -62,24 +61,30 @@ def parents(events: DataFrame, removals: DataFrame) -> DataFrame:
     )
 
 
-def orphan_references(events: DataFrame, removals: DataFrame, *, bloom_bits: int = BLOOM_BITS) -> DataFrame:
+def filtered_references(events: DataFrame, known: DataFrame, *, rows: int | None = None) -> DataFrame:
+    """References with ``maybe``: false where the filter of ``known`` parents proves that no header has the id.
+
+    ``rows``: size of the filter in rows of ``bloom.ROW`` words, by the number of parents if not given.
+    """
+    refs, heads = references(events), known.where(F.col("place").isNotNull())
+    rows = n_rows(heads.count()) if rows is None else rows
+    hashed = F.when(F.col("run_id").isNotNull(), _key("run_id", "target_id"))
+    return with_maybe(refs, bloom_table(heads, _key("p_run", "p_id"), rows), hashed, rows)
+
+
+def orphan_references(events: DataFrame, removals: DataFrame, *, rows: int | None = None) -> DataFrame:
     """(event_id, run_id, received_at, field, target_id, reason), reason in 'missing', 'late', 'deleted'.
 
     Defined results: null or empty targets, null deps and null proves refer to nothing; a reference of an event
     with a null run_id is 'missing'; a header with a null id is no parent; a null place sorts before all others and
     a null chunk never counts as after a removal; repeated rows, repeated targets and ties count once; empty tables
-    give no rows, or only 'missing' where there are no headers; other columns are ignored.
+    give no rows, or only 'missing' where there are no headers; other columns are ignored. Writes the parents when called.
     """
-    refs = references(events)
-    known = events.where((F.col("event_type") == "header") & F.col("id").isNotNull() & F.col("run_id").isNotNull())
-    known = known.select("run_id", "id")
-    bloom = bloom_filter(known, _key("run_id", "id"), max(1, bloom_bits // 8), bloom_bits)
-    maybe = F.coalesce(might_contain(refs, bloom, _key("run_id", "target_id")), F.lit(False))
-    tested = refs.withColumn("maybe", maybe & F.col("run_id").isNotNull())
+    right = checkpointed(parents(events, removals))
+    tested = filtered_references(events, right, rows=rows)
     keep = ["event_id", "run_id", "received_at", "field", "target_id"]
     certain = tested.where(~F.col("maybe")).select(*keep, F.lit("missing").alias("reason"))
     left = tested.where(F.col("maybe"))
-    right = parents(events, removals)
     here = F.struct(F.col("chunk_number").alias("c"), F.col("line_number").alias("l"))
     reason = (
         F.when(F.col("place").isNull(), "missing")

@@ -1,6 +1,9 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
+from loomtree.functions import bloom
 from loomtree.operators.references import orphan_references, orphan_report
 
 EVENTS = (
@@ -45,15 +48,29 @@ def events(n, seed):
     return rows + rows[:10]
 
 
-def test_orphans_equal_brute_force(spark):
-    for seed, bits in ((1, 1 << 16), (2, 64)):
+def test_orphans_equal_brute_force(spark, monkeypatch):
+    for seed, size, sent in ((1, None, 1 << 20), (2, 1, 1 << 20), (3, 3, 0)):
+        monkeypatch.setattr(bloom, "BROADCAST_BYTES", sent)
         rows = events(150, seed)
         gone = [(k, 1, f"i{k}", k % 6, "r") for k in range(10)] + [(90, None, "i1", 1, ""), (91, 2, None, 1, ""), (92, 2, "i2", None, "")]
-        got = orphan_references(spark.createDataFrame(rows, EVENTS), spark.createDataFrame(gone + gone, REMOVALS), bloom_bits=bits)
+        got = orphan_references(spark.createDataFrame(rows, EVENTS), spark.createDataFrame(gone + gone, REMOVALS), rows=size)
         found = [tuple(r) for r in got.select("event_id", "field", "target_id", "reason").collect()]
         assert len(found) == len(set(found)) and set(found) == brute(rows, gone)
 
 
+def test_the_filter_loses_no_key_and_is_selective_at_any_number_of_keys(spark):
+    for n in (10, 30_000, 200_000):
+        keys, rows = spark.range(n).select(F.xxhash64("id").alias("h")), bloom.n_rows(n)
+        table = bloom.bloom_table(keys, F.col("h"), rows)
+        assert table.count() == rows
+        asked = spark.range(0, 2 * n).select("id", F.when(F.col("id") % 1000 < 999, F.xxhash64("id")).alias("h"))
+        got = bloom.with_maybe(asked, table, F.col("h"), rows)
+        counted = got.select((F.col("id") < n).alias("kept"), F.col("h").isNull().alias("no"), "maybe").groupBy("kept", "no", "maybe").count().collect()
+        times = {(r.kept, r.no, r.maybe): r["count"] for r in counted}
+        assert (True, False, False) not in times and not any(m and no for _, no, m in times)
+        assert times.get((False, False, True), 0) <= 0.05 * n + 2
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], REMOVALS)
     assert orphan_references(spark.createDataFrame([], EVENTS), none).count() == 0
