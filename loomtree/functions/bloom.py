@@ -1,11 +1,12 @@
 """A Bloom filter as a table: built by aggregates, asked by an equi-join, both from public functions only.
 
-A key sets four bits of one 64-bit word. Words lie in rows of ``ROW`` of them, so the filter is split by hash: a small one
+A key is a well mixed 64-bit hash. Its lower 40 bits choose a 64-bit word and its upper 24 bits four bits of it. Words lie in rows of ``ROW`` of them, so the filter is split by hash: a small one
 is broadcast, a large one meets the keys that ask by the hash of their row, and no task or driver ever needs the whole.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +24,31 @@ def n_rows(keys: int) -> int:
 
 
 def _word(hashed: Column, rows: int) -> Column:
-    return F.pmod(hashed, F.lit(rows * ROW))
+    return F.pmod(hashed.bitwiseAND((1 << 40) - 1), F.lit(rows * ROW))
 
 
 def _mask(hashed: Column) -> Column:
-    """Four of 64 bits, from another hash than the word's."""
-    again = F.xxhash64(hashed)
-    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(again, 6 * k).bitwiseAND(63).cast("int")) for k in range(4)]
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(hashed, 40 + 6 * k).bitwiseAND(63).cast("int")) for k in range(4)]
     return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
 
 
+def hits(hashed: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which of an array of uint64 hashes may be in the filter given as one array of its words."""
+    word = words[(hashed & np.uint64((1 << 40) - 1)) % np.uint64(len(words))]
+    mask = np.zeros(len(hashed), np.uint64)
+    for k in range(4):
+        mask |= np.uint64(1) << ((hashed >> np.uint64(40 + 6 * k)) & np.uint64(63))
+    return (word & mask) == mask
+
+
+def bloom_array(table: DataFrame, rows: int) -> np.ndarray:
+    """The words of a filter of a bounded number of rows, on the driver, for ``hits``."""
+    out = np.zeros(rows * ROW, np.uint64)
+    for row, words in table.collect():
+        out[row * ROW : (row + 1) * ROW] = np.array(words, np.int64).view(np.uint64)
+    return out
+
+
 def bloom_table(keys: DataFrame, hashed: Column, rows: int) -> DataFrame:
     """(bloom_row, bloom_words): the filter of ``hashed`` (a BIGINT hash) over all rows of ``keys``; every word is there."""
     spark = keys.sparkSession
