@@ -1,34 +1,45 @@
 """Evaluation texts inside a corpus: a prefix-filtered set join with positional bounds and exact verification.
 
-The unit is a shingle of ``words`` consecutive words of an item; a document is affected if it contains one.
-
-1. Items are split into blocks of bounded size by a hash, so what is broadcast never grows with the item table; each
-   block is set against all documents.
-2. Words are ordered by their document frequency over the whole corpus, counted for the words of the block with one
-   partially aggregated pass. A shingle must match in all of its words, so its necessary prefix is one word: the
-   rarest. The index maps that word to the places at which shingles hold it.
-3. A document is scanned once. Where it holds a prefix word, length and positional bounds say at which word the shingle
-   would begin; there the window of exactly that size is compared as a whole.
-No document text is shuffled; only (document, item) rows are, to remove repeats.
+A text is the set of its shingles of ``SHINGLE`` words with their places. A leak is a *window* of ``words`` consecutive
+words of an item: it matches only if all its shingles do, so one of them suffices as its necessary prefix.
+
+1. One pass over the corpus counts in how many documents each shingle of an item stands. A Bloom filter of the items'
+   shingles, of bounded size, leaves nearly nothing else to be counted; each task counts before it sends.
+2. The shingles of an item are ordered by that rarity, and each window's prefix is its rarest shingle. Windows with a
+   shingle that stands in no document need none. Neighbouring windows mostly share their prefix.
+3. A second pass sends, for each prefix shingle in a document, its place and as many words around it as a window
+   holding it can have. These candidates alone are shuffled, and meet the items' prefixes in an equi-join by hash.
+4. Length bound: texts shorter than a window have no shingles here. Positional bound: a window begins at most
+   ``words - SHINGLE`` words before its prefix. In the window of words around the prefix the two texts are
+   compared word by word: the hashes only propose.
+
+The corpus is read twice, whatever the number of items. The driver sees the two filters and nothing else.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtree.checkpoints import checkpointed
+from loomtree.functions import bloom
 from loomtree.llm.arrow import emit, schema
 from loomtree.llm.canonical import canonical
 from loomtree.session import ship
 
 #: Consecutive words that make a leak.
 WORDS = 12
-#: Characters of item text whose shingles are broadcast at once; beyond it there are more blocks.
-BLOCK_CHARS = 2_000_000
+#: Words of a shingle.
+SHINGLE = 5
+#: Rows of a filter at most (64 MB): with more shingles it lets more through to the exact join, and loses none.
+FILTER_ROWS = 8192
+#: Words whose hashes a worker keeps, and shingles it counts, before it starts anew.
+KEPT = 500_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -40,106 +51,221 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(canonical(text).lower())
 
 
-def _blocks(items: DataFrame) -> int:
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(1, -(-int(size) // BLOCK_CHARS))
+class WordHashes(dict):
+    """64-bit hashes of words, each computed once while it is kept."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+def shingle_hashes(words: list[str], size: int, hashes: WordHashes) -> np.ndarray:
+    """A well mixed 64-bit hash of every shingle of ``size`` words, by place."""
+    n = len(words) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    mixed = np.zeros(n, np.uint64)
+    for k in range(size):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + each[k : k + n]
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(29))
+
 
+def _context(words: list[str], at: int, before: int, after: int) -> tuple[int, str]:
+    """How many words stand before ``at`` in the context, and the context of at most so many words around it."""
+    first = max(0, at - before)
+    return at - first, " ".join(words[first : at + after])
 
-def _frequencies(docs: DataFrame, vocabulary: frozenset[str]) -> dict[str, int]:
-    """Of each word of the block, in how many of all documents it stands. The result has the block's size at most."""
-    to = schema("word string,n bigint")
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+def _distinct_shingles(items: DataFrame, words: int, size: int) -> DataFrame:
+    """(item_id, at, h) of all items of a window and more."""
+    to = schema("item_id bigint,at int,h bigint")
 
     def run(batches):
-        counts: dict[str, int] = defaultdict(int)
-        known = sent.value
+        def rows():
+            hashes = WordHashes()
+            for b in batches:
+                for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    seq = words_of(text)
+                    if len(seq) >= words:
+                        yield from ((item, at, h) for at, h in enumerate(shingle_hashes(seq, size, hashes).view(np.int64).tolist()))
+
+        yield from emit(rows(), to)
+
+    return items.mapInArrow(run, "item_id bigint,at int,h bigint")
+
+
+def _filter(keys: DataFrame):
+    """A broadcast filter of (h) and the number of distinct keys."""
+    some = keys.select("h").distinct()
+    n = some.count()
+    rows = min(FILTER_ROWS, bloom.n_rows(n))
+    table = bloom.bloom_table(some, F.col("h"), rows)
+    return (keys.sparkSession.sparkContext.broadcast(bloom.bloom_array(table, rows)) if n else None), n
+
+
+def _frequencies(docs: DataFrame, sent, words: int, size: int) -> DataFrame:
+    """(h, n): in how many documents each shingle stands that the filter lets through."""
+    to = schema("h bigint,n bigint")
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        hashes, known, most = WordHashes(), sent.value, 0
+
+        def counted():
+            values, n = np.unique(np.concatenate(held), return_counts=True)
+            return emit(zip(values.view(np.int64).tolist(), n.tolist()), to)
+
         for b in batches:
             for text in b.column(0).to_pylist():
-                for word in known.intersection(words_of(text)):
-                    counts[word] += 1
-        yield from emit(counts.items(), to)
+                seq = words_of(text)
+                if len(seq) < words:
+                    continue
+                each = shingle_hashes(seq, size, hashes)
+                found = np.unique(each[bloom.hits(each, known)])
+                if len(found):
+                    held.append(found)
+                    most += len(found)
+            if most > KEPT:
+                yield from counted()
+                held, most = [], 0
+        if held:
+            yield from counted()
 
-    rows = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "word string,n bigint")
-    return dict(rows.groupBy("word").agg(F.sum("n").alias("n")).collect())
+    rows = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "h bigint,n bigint")
+    return rows.groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _index(shingles: dict[tuple[str, ...], list], frequency: dict[str, int]) -> dict[str, tuple[int, ...]]:
-    """For each prefix word the offsets at which a shingle holds it as its rarest word."""
-    places: dict[str, set[int]] = defaultdict(set)
-    for window in shingles:
-        at = min(range(len(window)), key=lambda k: (frequency.get(window[k], 0), window[k], k))
-        places[window[at]].add(at)
-    return {word: tuple(sorted(offsets)) for word, offsets in places.items()}
+PREFIX = "h bigint,item_id bigint,i_before int,i_words string"
 
 
-def matches(words: list[str], places: dict, shingles: dict, size: int) -> dict[int, list[int]]:
-    """For each item the sorted positions of the document at which one of its shingles begins."""
-    found: dict[int, list[int]] = defaultdict(list)
-    last = len(words) - size
-    if last < 0 or places.keys().isdisjoint(words):
-        return found
-    tried = set()
-    for p, word in enumerate(words):
-        for offset in places.get(word, ()):
-            start = p - offset
-            if 0 <= start <= last and start not in tried:
-                tried.add(start)
-                for item in shingles.get(tuple(words[start : start + size]), ()):
-                    found[item].append(start)
-    for starts in found.values():
-        starts.sort()
-    return found
+def prefix_places(rarity: list[tuple[int, int] | None], windows: int, span: int) -> set[int]:
+    """The places of the rarest shingle of every window, windows with an absent shingle (None) left out."""
+    return {
+        min(range(w, w + span), key=lambda k: (rarity[k], k)) for w in range(windows) if all(rarity[k] is not None for k in range(w, w + span))
+    }
+
+
+def _prefixes(items: DataFrame, shingles: DataFrame, frequency: DataFrame, words: int, size: int) -> DataFrame:
+    """(h, item_id, i_before, i_words): the prefix shingles of the items' windows with the words around them."""
+    rated = shingles.join(frequency, "h", "left").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("at", "h", "n"))).alias("s"))
+    to, reach = schema(PREFIX), words - size
+
+    def run(batches):
+        def rows():
+            for b in batches:
+                for item, text, found in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    seq = words_of(text)
+                    # rows of one item that differ in their text only: each has shingles of its own, at the same places
+                    at: dict[int, dict] = {}
+                    own = shingle_hashes(seq, size, WordHashes()).view(np.int64).tolist()
+                    for x in found:
+                        if x["at"] < len(own) and x["h"] == own[x["at"]]:
+                            at[x["at"]] = x
+                    rarity = [(at[k]["n"], own[k]) if k in at and at[k]["n"] else None for k in range(len(own))]
+                    for k in sorted(prefix_places(rarity, len(seq) - words + 1, reach + 1)):
+                        yield own[k], item, *_context(seq, k, reach, words)
+
+        yield from emit(rows(), to)
+
+    return items.join(rated, "item_id").select("item_id", "text", "s").mapInArrow(run, PREFIX)
+
+
+CANDIDATES = "h bigint,doc_id bigint,at int,d_before int,d_words string"
+
+
+def _candidates(docs: DataFrame, sent, words: int, size: int) -> DataFrame:
+    """(h, doc_id, at, d_before, d_words): the places of prefix shingles in documents with the words around them."""
+    to, reach = schema(CANDIDATES), words - size
+
+    def run(batches):
+        def rows():
+            hashes, known = WordHashes(), sent.value
+            for b in batches:
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    seq = words_of(text)
+                    if len(seq) < words:
+                        continue
+                    each = shingle_hashes(seq, size, hashes)
+                    for at in np.flatnonzero(bloom.hits(each, known)).tolist():
+                        yield int(each[at].view(np.int64)), doc, at, *_context(seq, at, reach, words)
+
+        yield from emit(rows(), to)
+
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, CANDIDATES)
+
+
+def common_run(a: list[str], a_at: int, b: list[str], b_at: int, size: int) -> tuple[int, int]:
+    """Equal words before and from two places on; (0, 0) if the ``size`` words from there are not equal."""
+    if a[a_at : a_at + size] != b[b_at : b_at + size]:
+        return 0, 0
+    left = 0
+    while left < min(a_at, b_at) and a[a_at - left - 1] == b[b_at - left - 1]:
+        left += 1
+    right, most = size, min(len(a) - a_at, len(b) - b_at)
+    while right < most and a[a_at + right] == b[b_at + right]:
+        right += 1
+    return left, right
+
+
+def _verified(met: DataFrame, words: int, size: int) -> DataFrame:
+    """(doc_id, item_id, start): the windows that are equal word by word."""
+    to = schema("doc_id bigint,item_id bigint,start int")
+
+    def run(batches):
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for doc, item, at, d, d_words, i, i_words in zip(*(b.column(k).to_pylist() for k in range(7))):
+                    left, right = common_run(d_words.split(" "), d, i_words.split(" "), i, size)
+                    for start in range(at - left, at + right - words + 1):
+                        yield doc, item, start
+
+        yield from emit(rows(), to)
+
+    picked = met.select("doc_id", "item_id", "at", "d_before", "d_words", "i_before", "i_words")
+    return picked.mapInArrow(run, "doc_id bigint,item_id bigint,start int")
+
+
+def leaked_windows(docs: DataFrame, items: DataFrame, *, words: int = WORDS, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, item_id, start) for every place of a document at which a window of an item begins; may repeat."""
+    spark, size = ship(docs.sparkSession), min(shingle, words)
+    none = spark.createDataFrame([], "doc_id bigint, item_id bigint, start int")
+    texts = items.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
+    shingles = checkpointed(_distinct_shingles(texts, words, size))
+    sent, n = _filter(shingles)
+    if not n:
+        return none
+    prefixes = checkpointed(_prefixes(texts, shingles, _frequencies(docs, sent, words, size), words, size))
+    sent, n = _filter(prefixes)
+    if not n:
+        return none
+    return _verified(_candidates(docs, sent, words, size).join(prefixes, "h"), words, size)
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, *, words: int = WORDS) -> DataFrame:
-    """(doc_id, item_id, shingles, longest_words, first_word) for every document that holds a shingle of an item.
+    """(doc_id, item_id, shingles, longest_words, first_word) for every document that holds a window of an item.
 
-    shingles counts positions of the document that begin one; longest_words is the longest run of words covered by
-    shingles that follow each other; first_word is the position of the first.
+    shingles counts places of the document at which one begins; longest_words is the longest run of words covered by
+    windows that follow each other; first_word is the place of the first.
 
     Defined results: null texts, and items or documents of fewer words, leak nothing; repeated rows of documents or
-    items count once; an item that holds a shingle twice counts it once; empty tables give no rows; other columns are
-    ignored. Runs two passes over documents per block of items: a count, when this is called, and the search.
+    items count once; an item that holds a window twice counts it once; empty tables give no rows; other columns are
+    ignored. Reads the documents twice: once to count, when this is called, and once to search.
     """
-    spark, to = ship(docs.sparkSession), schema(LEAKS)
-    texts = items.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
-    n = _blocks(texts)
-    result = spark.createDataFrame([], LEAKS)
-    for k in range(n):
-        block = texts if n == 1 else texts.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        shingles: dict[tuple[str, ...], list[int]] = {}
-        for item, text in block.collect():  # at most about BLOCK_CHARS characters
-            seq = words_of(text)
-            for i in range(len(seq) - words + 1):
-                holders = shingles.setdefault(tuple(seq[i : i + words]), [])
-                if item not in holders:
-                    holders.append(item)
-        if not shingles:
-            continue
-        vocabulary = frozenset(w for window in shingles for w in window)
-        places = _index(shingles, _frequencies(docs, vocabulary))
-        sent = spark.sparkContext.broadcast((places, shingles))
-        result = result.unionByName(docs.select("doc_id", "text").mapInArrow(_search(sent, words, to), LEAKS))
-    return result.groupBy("doc_id", "item_id").agg(
-        F.max("shingles").alias("shingles"), F.max("longest_words").alias("longest_words"), F.min("first_word").alias("first_word")
-    )
+    starts = F.array_sort(F.collect_set("start"))  # as many as the document has words
+    found = leaked_windows(docs, items, words=words).groupBy("doc_id", "item_id").agg(starts.alias("s"))
+    begin = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
+    def step(state, x):
+        run = F.when(x == state["last"] + 1, state["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
 
-def _search(sent, size: int, to):
-    def rows(batches) -> Iterator[tuple]:
-        places, shingles = sent.value
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if text is None:
-                    continue
-                for item, starts in matches(words_of(text), places, shingles, size).items():
-                    longest = run = 1
-                    for a, z in zip(starts, starts[1:]):
-                        run = run + 1 if z == a + 1 else 1
-                        longest = max(longest, run)
-                    yield doc, item, len(starts), longest + size - 1, starts[0]
-
-    return lambda batches: emit(rows(batches), to)
+    longest = F.aggregate("s", begin, step, lambda state: state["best"] + (words - 1))
+    return found.select("doc_id", "item_id", F.size("s").alias("shingles"), longest.alias("longest_words"), F.array_min("s").alias("first_word"))
 
 
 def leak_report(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 from loomtree.llm import leaks
-from loomtree.llm.leaks import leak_report, leaked_passages, words_of
+from loomtree.llm.leaks import leak_report, leaked_passages, leaked_windows, words_of
 
 DOCS = "doc_id bigint, text string, item_id int, word string"
 ITEMS = "item_id bigint, suite string, text string, doc_id int"
@@ -26,15 +28,39 @@ def make(seed):
     return docs + [(200, None), (201, "")], items
 
 
-def test_found_equals_brute_force_in_one_block_and_in_many(spark, monkeypatch):
-    for seed, size in ((1, 5), (2, 4)):
+def test_found_equals_brute_force_with_any_filter(spark, monkeypatch):
+    for seed, size, shingle in ((1, 5, 5), (2, 4, 2), (3, 6, 3)):
         docs, items = make(seed)
         d = spark.createDataFrame([(*r, 1, "w") for r in docs + docs[:4]], DOCS)
         i = spark.createDataFrame([(a, "s", t, 3) for a, t in items + items[:2]], ITEMS)
-        for block in (2_000_000, 150):
-            monkeypatch.setattr(leaks, "BLOCK_CHARS", block)
-            got = [(r.doc_id, r.item_id) for r in leaked_passages(d, i, words=size).collect()]
-            assert len(got) == len(set(got)) and set(got) == brute(docs, items, size)
+        for full in (False, True):
+            # a filter that lets everything through changes nothing
+            with monkeypatch.context() as m:
+                if full:
+                    m.setattr(leaks.bloom, "bloom_array", lambda table, rows: np.full(1, 2**64 - 1, np.uint64))
+                got = [tuple(r) for r in leaked_windows(d, i, words=size, shingle=shingle).select("doc_id", "item_id").distinct().collect()]
+            assert set(got) == brute(docs, items, size)
+
+
+def test_rows_of_one_item_with_different_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(14)) for x in "ab")
+    d = spark.createDataFrame([(1, a, 0, ""), (2, b, 0, ""), (3, b + " " + a, 0, "")], DOCS)
+    i = spark.createDataFrame([(7, "s", a, 0), (7, "t", b, 0), (None, "u", a, 0)], ITEMS)
+    got = {(r.doc_id, r.item_id): (r.shingles, r.longest_words, r.first_word) for r in leaked_passages(d, i).collect()}
+    assert got == {(1, 7): (3, 14, 0), (2, 7): (3, 14, 0), (3, 7): (6, 14, 0)}
+
+
+def test_every_window_has_its_rarest_shingle_as_prefix():
+    rnd = random.Random(4)
+    for _ in range(50):
+        n, span = rnd.randint(1, 30), rnd.randint(1, 8)
+        rarity = [rnd.choice([None, (1, 5), (2, 7), (9, 1)]) if rnd.random() < 0.3 else (rnd.randint(1, 9), k) for k in range(n)]
+        windows = max(0, n - span + 1)
+        chosen = leaks.prefix_places(rarity, windows, span)
+        for w in range(windows):
+            part = rarity[w : w + span]
+            if None not in part:
+                assert min(part) in [rarity[k] for k in chosen if w <= k < w + span]
 
 
 def test_passage_lengths_and_look_alikes(spark):
