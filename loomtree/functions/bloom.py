@@ -33,12 +33,13 @@ def _mask(hashed: Column) -> Column:
 
 
 def hits(hashed: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Which of an array of uint64 hashes may be in the filter given as one array of its words."""
+    """The places of an array of uint64 hashes that may be in the filter given as one array of its words."""
     word = words[(hashed & np.uint64((1 << 40) - 1)) % np.uint64(len(words))]
-    mask = np.zeros(len(hashed), np.uint64)
-    for k in range(4):
-        mask |= np.uint64(1) << ((hashed >> np.uint64(40 + 6 * k)) & np.uint64(63))
-    return (word & mask) == mask
+    found = np.arange(len(hashed))
+    for k in range(4):  # each bit leaves fewer to be asked for the next
+        bit = (hashed[found] >> np.uint64(40 + 6 * k)) & np.uint64(63)
+        found = found[(word[found] >> bit) & np.uint64(1) != 0]
+    return found
 
 
 def bloom_array(table: DataFrame, rows: int) -> np.ndarray:

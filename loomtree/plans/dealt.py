@@ -11,7 +11,7 @@ def _p2(spark, d):
 
 
 def _trees(spark, d):
-    return table(spark, d, "tree_snapshots")
+    return table(spark, d, "tree_snapshots", spread=True)
 
 
 QUERIES = {

@@ -45,6 +45,9 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *, spread: bool = False) -> DataFrame:
+    """One table of a data directory. ``spread`` hands the rows of a scan with fewer tasks than cores out evenly, for
+    tables of texts, which are small for the work they give; a larger table is read as it lies."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if spread and rows.rdd.getNumPartitions() < cores else rows
