@@ -191,7 +191,7 @@ def _candidates(docs: DataFrame, sent, words: int, size: int) -> DataFrame:
                     if len(seq) < words:
                         continue
                     each = shingle_hashes(seq, size, hashes)
-                    for at in np.flatnonzero(bloom.hits(each, known)).tolist():
+                    for at in bloom.hits(each, known).tolist():
                         yield int(each[at].view(np.int64)), doc, at, *_context(seq, at, reach, words)
 
         yield from emit(rows(), to)

@@ -11,14 +11,14 @@ LOSS_LIMIT = 1_536
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return table(spark, d, "documents", spread=True)
 
 
 QUERIES = {
-    "p3_found": lambda spark, d: split.oversized_plans(table(spark, d, "batch_plans")),
-    "p3_pieces": lambda spark, d: split.split_oversized(table(spark, d, "batch_plans")),
-    "p5_found": lambda spark, d: scans.scan_repairs(table(spark, d, "batch_contexts")),
-    "p5_paragraphs": lambda spark, d: scans.repaired_texts(table(spark, d, "batch_contexts")),
+    "p3_found": lambda spark, d: split.oversized_plans(table(spark, d, "batch_plans", spread=True)),
+    "p3_pieces": lambda spark, d: split.split_oversized(table(spark, d, "batch_plans", spread=True)),
+    "p5_found": lambda spark, d: scans.scan_repairs(table(spark, d, "batch_contexts", spread=True)),
+    "p5_paragraphs": lambda spark, d: scans.repaired_texts(table(spark, d, "batch_contexts", spread=True)),
     "p6_packed": lambda spark, d: packing.packed(_docs(spark, d)),
     "p6_containers": lambda spark, d: packing.containers(packing.packed(_docs(spark, d))),
     "p6_loss_limited": lambda spark, d: packing.packed(_docs(spark, d), loss_capacity=LOSS_LIMIT),
