@@ -24,6 +24,7 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtree.checkpoints import checkpointed
 from loomtree.llm.arrow import emit, schema
 from loomtree.session import ship
 
@@ -190,11 +191,12 @@ def look_alike_pairs(docs: DataFrame) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: different texts with one consistent form.
 
     Pairs are made between the distinct texts of a form first and then given to the documents that hold them, so exact
-    copies, however many, never meet each other. Defined results: null texts look like nothing; empty texts look like
-    texts of characters without width; repeated rows give a pair once; other columns are ignored.
+    copies, however many, never meet each other. The rows are as many as there are such pairs; ``look_alike_links`` says
+    the same in one row per document. Defined results: null texts look like nothing; empty texts look like texts of
+    characters without width; repeated rows give a pair once; other columns are ignored. Reads the texts once, when called.
     """
-    prints = fingerprints(docs)
-    kept = prints.join(_mixed(prints), "look", "left_semi").distinct()
+    prints = checkpointed(fingerprints(docs))
+    kept = checkpointed(prints.join(_mixed(prints), "look", "left_semi").distinct())
     texts = kept.select("look", "exact").distinct()
     other = texts.select("look", F.col("exact").alias("exact_b"))
     differing = texts.join(other, "look").where(F.col("exact") != F.col("exact_b"))
@@ -205,10 +207,34 @@ def look_alike_pairs(docs: DataFrame) -> DataFrame:
 
 
 def look_alike_classes(docs: DataFrame) -> DataFrame:
-    """One row per document with text: class_id is the smallest doc_id of its form; texts and documents per class."""
-    prints = fingerprints(docs)
-    classes = prints.groupBy("look").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_documents"))
-    texts = prints.groupBy("look", "exact").agg(F.lit(1).alias("one")).groupBy("look").agg(F.count("one").alias("n_texts"))
-    return prints.join(classes, "look").join(texts, "look").select("doc_id", "class_id", "n_documents", "n_texts")
+    """One row per document with text: class_id is the smallest doc_id of its form; texts and documents per class.
+
+    Counted per text first, so a hot form is combined where it is read. Reads the texts once, when called.
+    """
+    prints = checkpointed(fingerprints(docs))
+    return prints.join(_classes(_texts(prints)), "look").select("doc_id", "class_id", "n_documents", "n_texts")
+
+
+def _texts(prints: DataFrame) -> DataFrame:
+    """(look, exact, text_id, n_copies), one row per distinct text; text_id is the smallest doc_id that holds it."""
+    return prints.groupBy("look", "exact").agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("n_copies"))
 
 
+def _classes(texts: DataFrame) -> DataFrame:
+    return texts.groupBy("look").agg(
+        F.min("text_id").alias("class_id"), F.sum("n_copies").alias("n_documents"), F.count(F.lit(1)).alias("n_texts")
+    )
+
+
+def look_alike_links(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, text_id, n_links), one row per document of a class with several texts.
+
+    Two documents look alike and differ exactly where they share class_id and differ in text_id, so every pair of
+    ``look_alike_pairs`` follows from the rows and none has to be written; n_links counts a document's. Defined results as
+    there; a row given twice has its row twice.
+    """
+    prints = checkpointed(fingerprints(docs))
+    texts = checkpointed(_texts(prints.distinct()))
+    mixed = _classes(texts).where(F.col("n_texts") > 1)
+    known = texts.join(mixed, "look").select("look", "exact", "class_id", "text_id", (F.col("n_documents") - F.col("n_copies")).alias("n_links"))
+    return prints.join(known, ["look", "exact"]).select("doc_id", "class_id", "text_id", "n_links")

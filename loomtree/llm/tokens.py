@@ -1,25 +1,10 @@
-"""Counting tokens of a public tokenizer's rank file, whose path is a parameter."""
+"""Counting tokens of a public tokenizer's rank file, whose path is a parameter and which is sent along with the job."""
 
 from __future__ import annotations
 
-import base64
-import os
-from functools import cache
+from loomtree.functions.bpe import RANKS, encoding, shipped
 
-#: Where the rank file is looked for unless a path is given.
-RANKS = os.environ.get("LOOMTREE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-# Fixed value: the pattern that splits text before the merges of this vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-@cache
-def encoding(path: str = RANKS):
-    """The tokenizer of a rank file, one per Python worker."""
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+__all__ = ["RANKS", "count", "encoding", "shipped"]
 
 
 def count(text: str, path: str = RANKS) -> int:

@@ -1,7 +1,7 @@
 import random
 import unicodedata
 
-from loomtree.llm.canonical import _tables, canonical, canonical_texts, look_alike_classes, look_alike_pairs
+from loomtree.llm.canonical import _tables, canonical, canonical_texts, look_alike_classes, look_alike_links, look_alike_pairs
 
 DOCS = "doc_id bigint, text string, look string, exact string, class_id int"
 
@@ -36,7 +36,11 @@ def test_pairs_and_classes_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
     classes = {r.doc_id: r.class_id for r in look_alike_classes(df).collect()}
     assert classes == {i: min(j for j, t in rows if t is not None and canonical(t) == canonical(s)) for i, s in rows if s is not None}
-    assert look_alike_pairs(df.limit(0)).count() == 0
+    links = {r.doc_id: r for r in look_alike_links(df).collect()}
+    ids = sorted(links)
+    implied = {(a, b) for a in ids for b in ids if a < b and links[a].class_id == links[b].class_id and links[a].text_id != links[b].text_id}
+    assert implied == want and all(links[i].n_links == sum(i in pair for pair in want) for i in ids)
+    assert look_alike_pairs(df.limit(0)).count() == look_alike_links(df.limit(0)).count() == 0
     texts = {r.doc_id: (r.canonical, r.changed) for r in canonical_texts(df).collect()}
     assert all(texts[i] == ((None, False) if s is None else (canonical(s), canonical(s) != s)) for i, s in rows)
 

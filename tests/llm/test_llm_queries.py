@@ -9,5 +9,5 @@ def test_query(spark, name):
     got = spark_rows(QUERIES[name](spark, f"{DATA}/sf0.001"))
     if name in ORACLES:
         assert got == sql_rows(ORACLES[name], "sf0.001")
-    elif name != "p8_found":
+    else:
         assert sum(got[1].values()) > 0

@@ -63,6 +63,31 @@ def test_texts_are_whole_unless_they_exceed_a_container(spark):
     assert max(r[1] for r in tight if r[0] is not None) <= 500
 
 
+def test_small_items_are_shared_out_where_slots_are_few():
+    rnd = np.random.default_rng(1)
+    size = np.concatenate([rnd.integers(600, 1500, 400), rnd.integers(1, 200, 800)])
+    where, _ = pack(size, size, 2048, 4, 2048)
+    n = fill(size, size, where, 2048, 4, 2048)
+    assert n <= 1.08 * max(-(-len(size) // 4), -(-size.sum() // 2048))
+
+
+def test_all_three_limits_bind(spark):
+    from loomtree.llm.queries import QUERIES
+
+    row = QUERIES["p6_summary"](spark, "/root/testdata/sf0.01").first()
+    assert min(row.token_limit, row.segment_limit, row.loss_limit) > 10
+    assert row.least_containers <= row.n_containers <= 1.1 * row.least_containers
+
+
+def test_a_long_book_does_not_enlarge_a_block(spark):
+    df = spark.createDataFrame([(1, "word " * 60_000), (2, "short text"), (3, "another")], "doc_id bigint, text string")
+    got = packed(df, block_items=2).collect()
+    full = [r for r in got if r.n_tokens == 2048]
+    assert len(full) == 60_000 // 2048 and len({r.container_id for r in full}) == len(full) and all(r.container_id < 0 for r in full)
+    rest = [r for r in got if r.n_tokens < 2048]
+    assert len(rest) == 3 and all(r.container_id >= 0 for r in rest)
+
+
 def test_the_limited_query_is_held_by_its_loss_limit(spark):
     from loomtree.llm.queries import LOSS_LIMIT, QUERIES
 
