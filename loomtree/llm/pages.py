@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 
@@ -164,6 +165,7 @@ def letters(text: str) -> str:
     return re.sub(r"[\W\d_]+", "", text.lower())
 
 
+@lru_cache(1 << 16)
 def alike(a: str, b: str, least: float = ALIKE) -> bool:
     """Whether two normalised lines repeat each other but for scanning noise."""
     if a == b:
@@ -186,7 +188,7 @@ def furniture(lines: list[str]) -> dict[int, str]:
 def told(lines: list[str], known: Iterable[int] = ()) -> tuple[dict[int, str], list[int]]:
     """The furniture, with ``known`` headers among it, and the lone lines: titles without page edge or repetition."""
     stripped = [x.strip() for x in lines]
-    lengths = sorted(len(x.rstrip()) for x in lines if x.strip())
+    lengths = sorted(len(x.rstrip()) for x, s in zip(lines, stripped) if s)
     if not lengths:
         return {}, []
     width = lengths[min(len(lengths) - 1, int(len(lengths) * 0.93))]
@@ -208,9 +210,8 @@ def told(lines: list[str], known: Iterable[int] = ()) -> tuple[dict[int, str], l
         if stripped[i]:
             nxt = i
     candidates = {}
-    for i in range(len(lines)):
-        s = stripped[i]
-        if not s or s.count(" ") > TITLE_WORDS and s[1:5].islower() and "|" not in s and "  " not in s and "." not in s[:14]:
+    for i, s in enumerate(stripped):
+        if not s or s[1:5].islower() and s.count(" ") > TITLE_WORDS and "|" not in s and "  " not in s and "." not in s[:14]:
             continue  # running text, as most lines are
         if i not in out and (sure := _candidate(lines, stripped, i, following[i], width)) is not None:
             candidates[i] = sure
@@ -304,7 +305,7 @@ def _candidate(lines: list[str], stripped: list[str], i: int, following: int, wi
     drawn = "|" in s or not s[1:5].islower() and _capitals(s)
     if len(words) > 12 or len(words) > TITLE_WORDS + 1 and not drawn and not _CHAPTER.match(s):
         return None
-    if is_heading(s) or _FORMULA.search(s) or _BARE.fullmatch(s) or _ROMAN_LINE.fullmatch(s):
+    if is_heading(s) or _FORMULA.search(s) or s[0] in _STARTS and _BARE.fullmatch(s) or len(s) < 10 and _ROMAN_LINE.fullmatch(s):
         return None
     if drawn:
         return True

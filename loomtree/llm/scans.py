@@ -41,6 +41,7 @@ SHORTEST = 4
 #: The filter's size: some 4 MB.
 SURE_WORDS = 65_536
 HYPHENS = "-¬\xad‐"
+_TAILS = frozenset(HYPHENS + " \t")
 
 _WORD = re.compile(r"[^\W_]+(?:[-’'][^\W_]+)*")
 _BROKEN = re.compile(rf"([^\W_]+(?:[-’'][^\W_]+)*)[{HYPHENS}][ \t]*$")
@@ -173,7 +174,10 @@ def examine(text: str, sure: dict[str, int], seen: Seen, known: list[int] | None
     halves: set[int] = set()
     open_: set[int] = set()
     for n, i in enumerate(running):
-        line = lines[i].rstrip(" \t")
+        line = lines[i]
+        if line[-1] not in _TAILS:  # most lines
+            continue
+        line = line.rstrip(" \t")
         if line[-1] not in HYPHENS or not (broken := _BROKEN.search(line)):
             continue
         open_.add(i)
@@ -192,17 +196,34 @@ def examine(text: str, sure: dict[str, int], seen: Seen, known: list[int] | None
     doubtful = strings & seen.doubtful
     seen.forget()
     if doubtful:
-        few = len(doubtful) <= 16
-        for i in running:
-            line = lines[i]
-            hit = any(string in line for string in doubtful) if few else not doubtful.isdisjoint(line.split())
-            if hit and not is_heading(line.strip()):
-                words = _WORD.findall(line)
+        for i in _lines_with(text, doubtful):
+            if i not in kinds and not is_heading(lines[i].strip()):
+                words = _WORD.findall(lines[i])
                 for word in words[(i in halves) : len(words) - (i in open_)]:
                     if _questionable(word, sure):
                         yield i + 1, "misread", word, word, 0, None
 
 
+def _lines_with(text: str, strings: set[str]) -> list[int]:
+    """The lines of a text that hold one of some strings, which have no blanks."""
+    if len(strings) > 200:
+        return [i for i, line in enumerate(text.split("\n")) if not strings.isdisjoint(line.split())]
+    places = set()
+    for string in strings:
+        at = text.find(string)
+        while at >= 0:
+            places.add(at)
+            at = text.find(string, at + len(string))
+    found, line, done = [], 0, 0
+    for at in sorted(places):
+        ends = text.count("\n", done, at)
+        if ends or not found:
+            line += ends
+            found.append(line)
+        done = at
+    return found
+
+
 def _joined(line: int, head: str, tail: str, sure: dict[str, int]) -> Iterator[tuple]:
     whole, hyphened = head + tail, f"{head}-{tail}"
     weight = {x: max(sure.get(x, 0), sure.get(x.lower(), 0), sure.get(x.capitalize(), 0)) for x in (whole, hyphened)}
