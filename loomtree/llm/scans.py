@@ -5,9 +5,9 @@
    scanner confusion gives a word at least ``RATIO`` times as frequent. One join of the vocabulary with itself.
 3. Each text is looked at once, and the few with a lone title again. Page furniture comes from ``pages.furniture``. A word broken at a line's end is joined
    with the first word of the next line of running text; words that are not surely right become questions.
-4. The ``SURE_WORDS`` most frequent right words are broadcast as a filter of fixed size: they answer nearly all
-   questions on the spot. What they cannot answer meets the whole vocabulary in one join, so nothing depends on how
-   many words the filter holds.
+4. The most frequent right words, ``SURE_WORDS`` at most, are broadcast as a filter: they answer nearly all questions on
+   the spot. What they cannot answer meets the whole vocabulary in one join by the same rules, and a word that the
+   filter lacks is less frequent than all it holds, so nothing depends on its size.
 5. A lone title (``pages``) is a header if its letters fuzzily repeat a header or a lone title of another text of its
    run. Only letters of titles travel for that: each run's headers in blocks, each block with all lone titles of the run.
 """
@@ -224,10 +224,14 @@ def _lines_with(text: str, strings: set[str]) -> list[int]:
     return found
 
 
+def _forms(word: str) -> set[str]:
+    return {word, word.lower(), word.capitalize()}
+
+
 def _joined(line: int, head: str, tail: str, sure: dict[str, int]) -> Iterator[tuple]:
     whole, hyphened = head + tail, f"{head}-{tail}"
-    weight = {x: max(sure.get(x, 0), sure.get(x.lower(), 0), sure.get(x.capitalize(), 0)) for x in (whole, hyphened)}
-    if max(weight.values()):
+    weight = {x: max(sure.get(form, 0) for form in _forms(x)) for x in (whole, hyphened)}
+    if max(weight.values()):  # what the filter does not hold is less frequent than all it holds
         yield line, "hyphen", whole, None, 2, whole if weight[whole] >= weight[hyphened] else hyphened
         return
     parts = [w for w in (head.split("-")[-1], tail.split("-")[0])]
@@ -238,7 +242,7 @@ def _joined(line: int, head: str, tail: str, sure: dict[str, int]) -> Iterator[t
             for form in {None} if known else {part, part.lower()}:
                 yield line, "hyphen", whole, form, cost, hyphened
     for value in (whole, hyphened):
-        for form in {value, value.lower()}:
+        for form in _forms(value):
             yield line, "hyphen", whole, form, 0, value
         if _CONFUSED.search(value):
             for reading in readings(value):
@@ -246,9 +250,12 @@ def _joined(line: int, head: str, tail: str, sure: dict[str, int]) -> Iterator[t
                     yield line, "hyphen", whole, form, 1, reading
 
 
-def _sure(words: DataFrame) -> dict[str, int]:
-    rows = words.where(F.col("reading").isNull() & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(SURE_WORDS)
-    return {r.word: r.n for r in rows.select("word", "n").collect()}
+def _sure(words: DataFrame, most: int) -> dict[str, int]:
+    """The right words more frequent than some bound, ``most`` of them at most; a word outside is never more frequent."""
+    right = words.where(F.col("reading").isNull() & (F.col("n") > 1)).select("word", "n")
+    rows = right.orderBy(F.desc("n"), "word").limit(most + 1).collect()
+    least = rows[most].n if len(rows) > most else 0
+    return {r.word: r.n for r in rows if r.n > least}
 
 
 def _answers(asked: DataFrame, words: DataFrame) -> DataFrame:
@@ -267,7 +274,9 @@ def _answers(asked: DataFrame, words: DataFrame) -> DataFrame:
         word = F.col("form").isNull() | (F.col("n") > 0) & F.col("reading").isNull()
         return F.max(F.when((F.col("cost") == cost) & word, F.col("value")))
 
+    right = (F.col("cost") == 0) & (F.col("n") > 1) & F.col("reading").isNull()
     found = joined.groupBy("context_id", "line_no", "kind", "slot").agg(
+        F.max(F.when(right, F.struct("n", F.when(F.col("value") == F.col("slot"), 1).otherwise(0).alias("w"), F.col("value").alias("v"))))["v"].alias("right"),
         F.max("reading").alias("reading"),
         best(0, "n").alias("n0"),
         best(0, "v").alias("v0"),
@@ -280,22 +289,24 @@ def _answers(asked: DataFrame, words: DataFrame) -> DataFrame:
     seen = F.greatest(F.coalesce("n0", F.lit(0)), F.lit(1))
     fixed = (
         F.when(F.col("kind") == "misread", F.col("reading"))
+        .when(F.col("right").isNotNull(), F.col("right"))
         .when(F.col("n1") >= seen * RATIO, F.col("v1"))
         .otherwise(F.coalesce("v0", F.when(F.col("first").isNotNull(), F.col("second")), "given"))
     )
     return found.select("context_id", "line_no", "kind", fixed.alias("fixed")).where(F.col("fixed").isNotNull()).distinct()
 
 
-def scan_repairs(contexts: DataFrame) -> DataFrame:
+def scan_repairs(contexts: DataFrame, *, sure_words: int = SURE_WORDS) -> DataFrame:
     """(context_id, line_no, kind, fixed): every line that is furniture, ends in a broken word or holds a misread one.
 
     Defined results: null and empty texts have no repairs; lines end at line feeds only; a row delivered twice counts
     once; a word broken over lines whose next line is missing, or starts a new sentence, is no hyphen; with no
     evidence in the corpus a word keeps its hyphen only if both halves are words; ties go to the joined form; empty
-    tables give no rows; without a run_id no other text is of the same run; other columns are ignored. Counts words when called (one pass), then examines lazily.
+    tables give no rows; without a run_id no other text is of the same run; other columns are ignored. ``sure_words`` bounds
+    the broadcast filter and changes no row. Counts words when called (one pass), then examines lazily.
     """
     words = checkpointed(lexicon(checkpointed(vocabulary(contexts))))
-    sent = contexts.sparkSession.sparkContext.broadcast(_sure(words))
+    sent = contexts.sparkSession.sparkContext.broadcast(_sure(words, sure_words))
     to, titles_to = schema(ASKED), schema(TITLES)
 
     def first(batches):

@@ -127,3 +127,15 @@ def test_halves_of_words_do_not_depend_on_the_filter(spark, monkeypatch):
         monkeypatch.setattr(scans, "SURE_WORDS", most)
         got = {r.fixed for r in scan_repairs(df).where("kind = 'hyphen'").collect()}
         assert got == {"quasi-tensor", "kernel-quasi", "matrixes"}
+
+
+def test_nothing_depends_on_the_size_of_the_filter(spark):
+    from oracle import DATA
+
+    contexts = spark.read.parquet(f"{DATA}/sf0.001/batch_contexts.parquet")
+    want = {tuple(r) for r in scan_repairs(contexts).collect()}
+    assert want and all({tuple(r) for r in scan_repairs(contexts, sure_words=n).collect()} == want for n in (0, 1, 300))
+    text = "the well spring of well and spring words\nwell-spring Wellspring Theory\nthe well-\nspring of fil-\nters and fil-\nter words runs on here\n"
+    small = spark.createDataFrame([(k, text, "", "", 0, "") for k in range(3)], CONTEXTS)
+    want = {tuple(r) for r in scan_repairs(small).collect()}
+    assert want and all({tuple(r) for r in scan_repairs(small, sure_words=n).collect()} == want for n in (0, 1, 3, 5))
