@@ -209,25 +209,34 @@ def flatten_trees(trees: DataFrame) -> DataFrame:
     return once.mapInArrow(_flatten, ROWS)
 
 
-def tree_nodes(trees: DataFrame) -> DataFrame:
-    """One row per node, linked to its parent by path."""
-    flat = flatten_trees(trees).where(F.col("kind") == "node")
-    return flat.select(
+def nodes_of(flat: DataFrame) -> DataFrame:
+    """The nodes among the rows of ``flatten_trees``, each linked to its parent by path."""
+    return flat.where(F.col("kind") == "node").select(
         "tree_id", "run_id", "node_path", "parent_path", "pos", F.col("value").alias("id"), "title", "node_type", "proves_id"
     )
 
 
-def tree_content(trees: DataFrame) -> DataFrame:
-    """One row per content span, linked to its node by path; numbers that are none stay null."""
-    flat = flatten_trees(trees).where(F.col("kind") == "content")
+def content_of(flat: DataFrame) -> DataFrame:
+    """The content spans, each linked to its node by path; numbers that are none stay null."""
     numbers = [F.expr(f"try_cast({c} AS INT)").alias(c) for c in NUMBERS]
-    return flat.select("tree_id", "run_id", "node_path", "pos", *numbers)
+    return flat.where(F.col("kind") == "content").select("tree_id", "run_id", "node_path", "pos", *numbers)
+
+
+def dependencies_of(flat: DataFrame) -> DataFrame:
+    """The named dependencies, each linked to its node by path."""
+    return flat.where(F.col("kind") == "dependency").select("tree_id", "run_id", "node_path", "pos", F.col("value").alias("dep_id"))
+
+
+def tree_nodes(trees: DataFrame) -> DataFrame:
+    return nodes_of(flatten_trees(trees))
+
+
+def tree_content(trees: DataFrame) -> DataFrame:
+    return content_of(flatten_trees(trees))
 
 
 def tree_dependencies(trees: DataFrame) -> DataFrame:
-    """One row per named dependency, linked to its node by path."""
-    flat = flatten_trees(trees).where(F.col("kind") == "dependency")
-    return flat.select("tree_id", "run_id", "node_path", "pos", F.col("value").alias("dep_id"))
+    return dependencies_of(flatten_trees(trees))
 
 
 LEVELS = "tree_id bigint, depth int, path string, rep array<int>, def array<int>, val array<string>"

@@ -2,7 +2,10 @@
 
 Content is ordered and equal by (chunk_number, first_line) alone; last_line never takes part, but for the overlap of
 line ranges in a partition. Frames: ``content`` (doc, node, chunk_number, first_line, last_line), ``tree`` (doc, node,
-parent), ``closure`` (doc, node, ancestor), each node its own ancestor too.
+parent), ``closure`` (doc, node, ancestor), each node its own ancestor too, ``bounds`` (doc, node, lo, hi).
+
+A closure is as large as the sum of the depths. That is linear in the input: a header at depth n has n dashes, and a
+node's path names n positions.
 """
 
 from __future__ import annotations
@@ -45,25 +48,32 @@ def is_after_content(lo: Column, key: Column) -> Column:
     return F.coalesce(lo > key, F.lit(False))
 
 
-def path_closure(tree: DataFrame) -> DataFrame:
-    """Closure of trees whose nodes are dotted paths: the ancestors are the path's beginnings."""
+def path_bounds(content: DataFrame) -> DataFrame:
+    """``content_bounds`` of trees whose nodes are dotted paths: a node's ancestors are its path's beginnings, so nothing is
+    joined, and a task combines what it has of a node before it sends."""
     parts = F.split("node", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
-    return tree.select("doc", "node", F.explode(prefixes).alias("ancestor"))
+    up = content.select("doc", content_key().alias("key"), F.explode(prefixes).alias("node"))
+    return up.groupBy("doc", "node").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
 
 
-def level_closure(nodes_: DataFrame) -> DataFrame:
-    """Closure of event-built trees: at each level above, the ancestor is the last earlier node of that level."""
+def level_closure(nodes_: DataFrame, flag: Column | None = None) -> DataFrame:
+    """Closure of event-built trees: at each level above, the ancestor is the last earlier node of that level. ``flag``, a
+    column of the nodes, is brought along from each ancestor."""
     from loomtree.operators.tree import _last_at_level
 
+    carried = F.struct(F.col("node_seq").alias("seq"), (F.lit(None).cast("boolean") if flag is None else flag).alias("flag"))
     none = F.lit(None).cast("int")
-    given = F.array(F.struct(F.col("eff_depth").alias("level"), F.col("node_seq").alias("provider"), none.alias("asks")))
+    given = F.array(F.struct(F.col("eff_depth").alias("level"), carried.alias("provider"), none.alias("asks")))
     levels = F.when(F.col("eff_depth") > 1, F.sequence(F.lit(1), F.col("eff_depth") - 1)).otherwise(F.array().cast("array<int>"))
-    asked = F.transform(levels, lambda x: F.struct(x.alias("level"), none.alias("provider"), F.col("node_seq").alias("asks")))
+    nobody = F.lit(None).cast("struct<seq:int,flag:boolean>")
+    asked = F.transform(levels, lambda x: F.struct(x.alias("level"), nobody.alias("provider"), F.col("node_seq").alias("asks")))
     rows = nodes_.select("doc", "chunk", F.col("node_seq").alias("at"), F.explode(F.concat(given, asked)).alias("r"))
     found = _last_at_level(rows.select("doc", "chunk", "at", "r.*"), "level", "provider", "found").where(F.col("asks").isNotNull())
-    above = found.select("doc", F.col("asks").alias("node"), F.col("found").alias("ancestor"))
-    return above.unionByName(nodes_.select("doc", F.col("node_seq").alias("node"), F.col("node_seq").alias("ancestor")))
+    names = ["doc", "node", "ancestor", *([] if flag is None else ["flag"])]
+    above = found.select("doc", F.col("asks").alias("node"), F.col("found.seq").alias("ancestor"), F.col("found.flag").alias("flag"))
+    own = nodes_.select("doc", F.col("node_seq").alias("node"), F.col("node_seq").alias("ancestor"), carried["flag"].alias("flag"))
+    return above.unionByName(own).select(names)
 
 
 def content_bounds(content: DataFrame, closure: DataFrame) -> DataFrame:
@@ -79,16 +89,16 @@ def max_ancestor_content(content: DataFrame, closure: DataFrame) -> DataFrame:
     return closure.join(own, ["doc", "ancestor"]).groupBy("doc", "node").agg(F.max("top").alias("top"))
 
 
-def rule_1_violations(tree: DataFrame, content: DataFrame, closure: DataFrame) -> DataFrame:
+def rule_1_violations(tree: DataFrame, content: DataFrame, bounds: DataFrame) -> DataFrame:
     """(doc, node, parent): children whose subtree does not start after their parent's own content."""
     own = content.groupBy(F.col("doc"), F.col("node").alias("parent")).agg(F.max(content_key()).alias("top"))
-    children = tree.join(content_bounds(content, closure), ["doc", "node"]).join(own, ["doc", "parent"])
+    children = tree.join(bounds, ["doc", "node"]).join(own, ["doc", "parent"])
     return children.where(~(F.col("lo") > F.col("top"))).select("doc", "node", "parent")
 
 
-def rule_2_violations(tree: DataFrame, content: DataFrame, closure: DataFrame) -> DataFrame:
+def rule_2_violations(tree: DataFrame, bounds: DataFrame) -> DataFrame:
     """(doc, node, parent): nodes whose span meets the span of a sibling that starts no later."""
-    spans = tree.where(F.col("parent").isNotNull()).join(content_bounds(content, closure), ["doc", "node"])
+    spans = tree.where(F.col("parent").isNotNull()).join(bounds, ["doc", "node"])
     before = W.partitionBy("doc", "parent").orderBy("lo", "hi", "node").rowsBetween(W.unboundedPreceding, -1)
     return spans.where(F.col("lo").isNotNull()).withColumn("reach", F.max("hi").over(before)).where(
         F.col("lo") <= F.col("reach")

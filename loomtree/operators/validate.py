@@ -1,13 +1,14 @@
 """Validation of header events: errors block a batch, warnings do not.
 
-All checks are frames of (doc, chunk, line_no, severity, code, message, pos) that are simply united; pos orders what one
-check says about one line. Ids known from earlier
+All checks are frames of (doc, chunk, line_no, severity, code, message, pos); pos orders what one check says about one
+line. Each is an operator of its own, and ``validate`` gives all of them from two looks at the headers. Ids known from earlier
 chunks and ids seen earlier in the chunk are one rule: an id's first place in document order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtree.functions.patterns import NODE_TYPES, PROVEABLE_TYPES
@@ -88,22 +89,20 @@ def proof_without_proves(heads: DataFrame) -> DataFrame:
 
 
 def proves_bad_target(heads: DataFrame) -> DataFrame:
-    """The target is the latest header of the same chunk with that id at or before the proof; untyped ones pass."""
-    targets = heads.select(
-        F.col("doc").alias("t_doc"), F.col("chunk").alias("t_chunk"), F.col("id").alias("t_id"),
-        F.col("place").alias("t_place"), F.struct("node_type").alias("t_type"),
-    )
-    asked = heads.where(_proves(heads))
-    on = (
-        (F.col("doc") == F.col("t_doc")) & (F.col("chunk") == F.col("t_chunk")) & (F.col("proves") == F.col("t_id"))
-        & (F.col("t_place") <= F.col("place"))
-    )
-    latest = asked.join(targets, on).groupBy("doc", "chunk", "line_no", "place", "id", "proves").agg(
-        F.max_by("t_type", "t_place").alias("t")
-    )
-    bad = latest.where(F.col("t.node_type").isNotNull() & ~F.col("t.node_type").isin(PROVEABLE_TYPES))
+    """The target is the latest header of the same chunk with that id at or before the proof; untyped ones pass.
+
+    Each header stands once for its own id and once, after that, for the id it proves: the latest type is then a running
+    last value, whatever number of headers have one id.
+    """
+    kind = F.struct(F.col("node_type").alias("t"))
+    own = F.struct(F.col("id").alias("key"), F.lit(0).alias("asks"), kind.alias("kind"))
+    asked = F.struct(F.col("proves").alias("key"), F.lit(1).alias("asks"), F.lit(None).cast("struct<t:string>").alias("kind"))
+    rows = heads.select("doc", "chunk", "line_no", "place", "id", "proves", F.explode(F.when(_proves(heads), F.array(own, asked)).otherwise(F.array(own))).alias("r"))
+    so_far = W.partitionBy("doc", "chunk", "r.key").orderBy("place", "r.asks").rowsBetween(W.unboundedPreceding, 0)
+    found = rows.withColumn("kind", F.last("r.kind", ignorenulls=True).over(so_far)).where(F.col("r.asks") == 1)
+    bad = found.where(F.col("kind.t").isNotNull() & ~F.col("kind.t").isin(PROVEABLE_TYPES))
     listed = "[" + ", ".join(f"'{t}'" for t in PROVEABLE_TYPES) + "]"
-    message = _line("proves='", F.col("proves"), "' targets type '", F.col("t.node_type"), f"', expected one of {listed}")
+    message = _line("proves='", F.col("proves"), "' targets type '", F.col("kind.t"), f"', expected one of {listed}")
     return _issue(bad, "warning", "proves_bad_target", message)
 
 
@@ -118,35 +117,51 @@ def missing_dependencies(heads: DataFrame) -> DataFrame:
     return _issue(missing, "warning", "missing_dependency", _line("dependency '", F.col("dep"), "' on node '", F.col("id"), "' not found"))
 
 
+def _by_id(heads: DataFrame) -> DataFrame:
+    """All issues that need at most the first place of one id, in one join: what a header says about itself travels with
+    its own id, what it says about a dependency with that."""
+    said = {
+        "unknown_type": (F.col("node_type").isNotNull() & ~F.col("node_type").isin(NODE_TYPES), _line("unknown type '", F.col("node_type"), "' on node '", F.col("id"), "'")),
+        "proves_on_non_proof": (_proves(heads) & ~F.col("node_type").eqNullSafe("proof"), _line("non-proof node '", F.col("id"), "' has proves='", F.col("proves"), "'")),
+        "proof_without_proves": ((F.col("node_type") == "proof") & ~_proves(heads), _line("proof node '", F.col("id"), "' missing proves attribute")),
+    }
+
+    def ask(key: Column, code: Column | str, message: Column, pos: Column) -> Column:
+        return F.struct(key.alias("key"), (F.lit(code) if isinstance(code, str) else code).alias("code"), message.alias("message"), pos.alias("pos"))
+
+    zero = F.lit(0)
+    own = [ask(F.col("id"), "duplicate_id", _line("duplicate id '", F.col("id"), "'"), zero)]
+    alone = [F.when(cond, ask(F.col("id"), code, message, zero)) for code, (cond, message) in said.items()]
+    deps = F.transform("deps", lambda x, i: F.when(
+        x.isNotNull() & (x != ""), ask(x, "missing_dependency", _line("dependency '", x, "' on node '", F.col("id"), "' not found"), i)
+    ))
+    every = F.array_compact(F.concat(F.array(*own, *alone), F.coalesce(deps, F.array().cast(heads.select(deps.alias("d")).schema["d"].dataType))))
+    rows = heads.select("doc", "chunk", "line_no", "place", F.explode(every).alias("a")).select("doc", "chunk", "line_no", "place", "a.*")
+    firsts = first_places(heads).select(F.col("doc").alias("k_doc"), F.col("id").alias("key"), "first_place")
+    met = rows.join(firsts.withColumnRenamed("key", "k_id"), (F.col("doc") == F.col("k_doc")) & (F.col("key") == F.col("k_id")), "left")
+    later = F.col("place") > F.col("first_place")
+    absent = F.col("first_place").isNull() | (F.col("first_place") > F.col("place"))
+    kept = F.when(F.col("code") == "duplicate_id", later).when(F.col("code") == "missing_dependency", absent).otherwise(True)
+    severity = F.when(F.col("code") == "duplicate_id", "error").otherwise("warning")
+    return met.where(F.coalesce(kept, F.lit(False))).select("doc", "chunk", "line_no", severity.alias("severity"), "code", "message", "pos")
+
+
 def validate(events: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """All issues of a set of documents; ``lines`` adds the check for leading text."""
     heads = headers(events)
-    checks = (duplicate_ids, unknown_types, proves_on_non_proof, proof_without_proves, proves_bad_target, missing_dependencies)
-    frames = [check(heads) for check in checks]
-    if lines is not None:
-        frames.append(leading_content(lines, heads))
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    out = _by_id(heads).unionByName(proves_bad_target(heads))
+    return out if lines is None else out.unionByName(leading_content(lines, heads))
 
 
 def known_ids(events: DataFrame) -> DataFrame:
-    """(doc, chunk, id): for every chunk with events the ids registered before it.
-
-    One row per pair, from a range join on first chunks: nothing is collected into a list.
-    """
-    heads = headers(events)
-    chunks = events.select("doc", "chunk").distinct()
-    first = heads.groupBy("doc", "id").agg(F.min("chunk").alias("since")).select(F.col("doc").alias("d"), "id", "since")
-    on = (F.col("doc") == F.col("d")) & (F.col("since") < F.col("chunk"))
-    return chunks.join(first, on).select("doc", "chunk", "id")
+    """(doc, id, chunk, line_no): each id with the place at which it is registered. What a chunk finds registered are the
+    ids of smaller chunks, in order of their places, so no list need be kept per chunk."""
+    first = first_places(headers(events))
+    return first.select("doc", "id", F.col("first_place.chunk").alias("chunk"), F.col("first_place.line_no").alias("line_no"))
 
 
 def known_id_counts(events: DataFrame) -> DataFrame:
     """(doc, chunk, n_known, n_new): how many ids a chunk finds registered and how many it adds, without listing them."""
-    from pyspark.sql import Window as W
-
     heads = headers(events)
     new = heads.groupBy("doc", "id").agg(F.min("chunk").alias("chunk")).groupBy("doc", "chunk").agg(F.count(F.lit(1)).alias("n_new"))
     every = events.select("doc", "chunk").distinct().join(new, ["doc", "chunk"], "left")
@@ -165,10 +180,10 @@ def token_size_warning(cleaned_tokens: Column, target: Column) -> Column:
 
 
 def batch_validity(issues: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(doc, chunk, n_errors, n_warnings, valid) of every chunk."""
-    per = issues.groupBy("doc", "chunk").agg(
-        F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("w")
-    )
-    out = chunks.select("doc", "chunk").distinct().join(per, ["doc", "chunk"], "left")
-    e, w = F.coalesce("e", F.lit(0)), F.coalesce("w", F.lit(0))
-    return out.select("doc", "chunk", e.alias("n_errors"), w.alias("n_warnings"), (e == 0).alias("valid"))
+    """(doc, chunk, n_errors, n_warnings, valid) of every chunk; counted before the shuffle."""
+    every = chunks.select("doc", "chunk", F.lit("none").alias("severity")).unionByName(issues.select("doc", "chunk", "severity"))
+    per = every.groupBy("doc", "chunk").agg(
+        F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "warning").alias("n_warnings"),
+        F.count_if(F.col("severity") == "none").alias("n"),
+    )
+    return per.where("n > 0").select("doc", "chunk", "n_errors", "n_warnings", (F.col("n_errors") == 0).alias("valid"))

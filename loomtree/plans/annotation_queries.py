@@ -17,6 +17,11 @@ def _plans(s, d):
     return table(s, d, "batch_plans").select("run_id", "ordinal", "raw_content").distinct()
 
 
+def _plan_keys(s, d):
+    """The batches without their texts."""
+    return table(s, d, "batch_plans").select(F.col("run_id").alias("doc"), "ordinal").distinct()
+
+
 def _lines(s, d):
     return lines.text_lines(_plans(s, d), "run_id", "ordinal", "raw_content")
 
@@ -167,6 +172,20 @@ _ALIGNED = ["ok", "error_code", "cutoff_line", "confidence", "cleaned_token_coun
             "cutoff_token_count", "min_cleaned_token_requirement"]
 
 
+def _unequal_pairs(s, d):
+    """Raw batches with another text of their run and ordinal, a context's, as cleaned text: whole texts that share words only."""
+    other = table(s, d, "batch_contexts").select(F.col("run_id").alias("r"), F.col("ordinal").alias("o"), F.col("raw_content").alias("cleaned")).distinct()
+    rows = _plans(s, d).where(F.col("raw_content").isNotNull())
+    met = rows.join(other.where(F.col("cleaned").isNotNull()), (F.col("run_id") == F.col("r")) & (F.col("ordinal") == F.col("o")))
+    return met.select(F.col("run_id").alias("doc"), F.col("ordinal").alias("chunk"), F.col("raw_content").alias("raw"), "cleaned")
+
+
+def _unequal(s, d):
+    rows = align.align(_unequal_pairs(s, d))
+    gates = [align.low_confidence().alias("low_confidence"), align.early_cutoff().alias("early_cutoff"), F.array_join(align.alignment_errors(rows), "|").alias("errors")]
+    return rows.select("doc", "chunk", F.md5("cleaned").alias("cleaned_hash"), *_ALIGNED, *gates)
+
+
 def _aligned(s, d):
     return align.align(_pairs(s, d)).select("doc", "chunk", *_ALIGNED)
 
@@ -202,6 +221,11 @@ def _size_warnings(s, d):
     return rows.select("plan_id", validate.token_size_warning(n, F.col("clean_token_target")).alias("warning")).where("warning IS NOT NULL")
 
 
+def _validity(s, d):
+    events = checkpointed(_stored(s, d))
+    return validate.batch_validity(validate.validate(events), events)
+
+
 _NODE = "SELECT doc, chunk, line_no, node_seq, id, title, node_type, proves, array_to_string(deps, '|') AS deps, depth, eff_depth, parent_seq FROM nodes"
 _EVENT = "SELECT doc, chunk, line_no, event_type, id, depth, title, node_type, proves, array_to_string(deps, '|') AS deps FROM events"
 _WITH_TREE = (TEXTS, LINES, PARSED, NODES)
@@ -266,22 +290,24 @@ QUERIES = {
     "val_6_proves_bad_target": _check(validate.proves_bad_target),
     "val_7_missing_dependency": _check(validate.missing_dependencies),
     "val_8_9_known_ids": lambda s, d: validate.known_id_counts(_stored(s, d)),
-    "val_8_known_id_list": lambda s, d: validate.known_ids(_doc_chunked(s, d)),
+    "val_8_known_id_list": lambda s, d: validate.known_ids(_stored(s, d)),
     "val_10_token_size": _size_warnings,
-    "val_11_all": lambda s, d: _issues(validate.validate(_parsed(s, d), _lines(s, d))),
-    "val_11_validity": lambda s, d: validate.batch_validity(validate.validate(_stored(s, d)), _stored(s, d)),
+    "val_11_all": lambda s, d: _issues(validate.validate(checkpointed(_parsed(s, d)), _lines(s, d))),
+    "val_11_validity": _validity,
     "seg_1_4_5_progress": _progress,
     "seg_2_3_batches": _batches,
     "seg_6_max_sections": _within,
     "seg_7_tokens": lambda s, d: _docs(s, d).select("doc_id", segment.word_count(F.col("text")).alias("words"), segment.char_count(F.col("text")).alias("chars")),
+    "seg_7_bpe_tokens": lambda s, d: _docs(s, d).select("doc_id", segment.bpe_count(s)(F.col("text")).alias("n_tokens")),
     "aln_1_content_tokens": lambda s, d: _docs(s, d).select("doc_id", F.size(align.content_tokens(F.col("text"))).alias("n_tokens"), F.md5(F.array_join(align.content_tokens(F.col("text")), " ")).alias("tokens")).where("text IS NOT NULL"),
     "aln_2_token_lines": lambda s, d: _plans(s, d).select(F.col("run_id").alias("doc"), F.col("ordinal").alias("chunk"), F.posexplode(align.raw_tokens(F.col("raw_content"))).alias("p", "t")).select("doc", "chunk", (F.col("p") + 1).alias("pos"), "t.token", "t.line"),
     "aln_3_to_8_alignment": _aligned,
+    "aln_5_unequal_texts": _unequal,
     "aln_9_10_gates": _gates,
     "aln_11_slices": _slices,
     "tre_1_root": lambda s, d: tree.with_root(_nodes(s, d)),
     "tre_2_visible_roots": lambda s, d: tree.visible_roots(_nodes(s, d)).select("doc", "node_seq", "id"),
-    "tre_3_has_nodes": lambda s, d: tree.visible_documents(_plans(s, d).withColumnRenamed("run_id", "doc"), _nodes(s, d)),
+    "tre_3_has_nodes": lambda s, d: tree.visible_documents(_plan_keys(s, d), _nodes(s, d)),
     "tre_4_5_active_trace": lambda s, d: _flat(tree.active_trace(_nodes(s, d), include_root=True)),
     "tre_6_7_11_12_nodes": lambda s, d: _flat(_nodes(s, d)),
     "tre_6_7_stored_nodes": lambda s, d: _flat(_stored_nodes(s, d)),
@@ -304,11 +330,6 @@ QUERIES = {
 }
 
 
-def _doc_chunked(s, d):
-    """Headers of the annotated documents, each header a chunk of its own."""
-    return _doc_events(s, d).withColumn("chunk", F.col("line_no"))
-
-
 _T = (TEXTS, LINES)
 _ALN = f"""rt AS (SELECT doc, chunk, flatten(list_transform(list_zip(p, range(1, len(p) + 1)), lambda q: list_transform({tokens('q[1]')}, lambda w: {{'token': w, 'line': q[2]::INT}}))) AS r FROM parts),
 c AS (SELECT *, len(r)::INT AS n, CASE WHEN len(r) = 0 THEN 0 ELSE greatest(1, floor(len(r) * 0.6))::INT END AS k FROM rt),
@@ -329,8 +350,7 @@ coalesce(nullif(title, ''), id) AS title, greatest(1, depth) AS depth FROM event
     "val_8_9_known_ids": query(STORED, HEADS, """new AS (SELECT doc, c AS chunk, count(*) AS n_new FROM (SELECT doc, first_place.c AS c FROM firsts) GROUP BY ALL)""",
         select="""SELECT doc, chunk, coalesce(sum(coalesce(n_new, 0)) OVER (PARTITION BY doc ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n_known,
 coalesce(n_new, 0) AS n_new FROM (SELECT DISTINCT doc, chunk FROM events) LEFT JOIN new USING (doc, chunk)"""),
-    "val_8_known_id_list": query(DOC_TEXTS, LINES, PARSED, select="""SELECT c.doc, c.line_no AS chunk, f.id FROM (SELECT DISTINCT doc, line_no FROM events) c
-JOIN (SELECT doc, id, min(line_no) AS since FROM events WHERE event_type = 'header' GROUP BY ALL) f ON f.doc = c.doc AND f.since < c.line_no"""),
+    "val_8_known_id_list": query(STORED, HEADS, select="SELECT doc, id, first_place.c AS chunk, first_place.l AS line_no FROM firsts"),
     "val_10_token_size": r"""SELECT plan_id, warning FROM (SELECT plan_id, CASE
   WHEN n < h THEN 'Cleaned text is ~' || n || ' tokens, hard minimum is ~' || h || ' tokens (hard warning).'
   WHEN n < t THEN 'Cleaned text is ~' || n || ' tokens, suggested minimum is ~' || t || ' tokens (soft warning).' END AS warning

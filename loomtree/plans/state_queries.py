@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtree.checkpoints import checkpointed
+from loomtree.checkpoints import checkpointed, shared_folder
 from loomtree.functions import patterns as P
 from loomtree.operators import lines, preview, rules, tree, treejson
 from loomtree.plans import annotation_queries as A
 from loomtree.plans import tools
 from loomtree.plans.dealt import _TREES
-from loomtree.plans.sqltext import FILE_SPLIT, LINES, NODES, PARSED, TEXTS, listed, query, quoted
+from loomtree.plans.sqltext import CLOSURE, FILE_SPLIT, LINES, NODES, PARSED, SPANS, TEXTS, listed, query, quoted
 from loomtree.session import table
-from loomtree.sources import tables
+from loomtree.sources import files, sinks, tables
 from loomtree.streaming import fold
 
 
@@ -23,29 +25,32 @@ def _clean(s, d):
 
 
 def _steps(s, d):
+    """Batches with the number of their place in the run, found from their ordinals alone: no text is sorted or gathered."""
+    keys = A._plan_keys(s, d)
+    step = keys.select(F.col("doc").alias("k_doc"), F.col("ordinal").alias("k_ordinal"), (F.row_number().over(W.partitionBy("doc").orderBy("ordinal")) - 1).alias("step"))
     rows = _clean(s, d)
-    return rows.select("doc", "ordinal", (F.row_number().over(W.partitionBy("doc").orderBy("ordinal")) - 1).alias("step"), "text")
+    return rows.join(step, (F.col("doc") == F.col("k_doc")) & F.col("ordinal").eqNullSafe(F.col("k_ordinal"))).select("doc", "ordinal", "step", "text")
 
 
 def _file_order(s, d):
-    names = _clean(s, d).select("doc", F.concat(F.lit("clean_"), F.col("ordinal").cast("string"), F.lit(".md")).alias("name"))
+    names = A._plan_keys(s, d).select("doc", F.concat(F.lit("clean_"), F.col("ordinal").cast("string"), F.lit(".md")).alias("name"))
     place = F.row_number().over(W.partitionBy("doc").orderBy(tables.numeric_order(F.col("name"))))
     return names.select("doc", "name", place.alias("place"))
 
 
-def _contexts(s, d):
-    return table(s, d, "batch_contexts").distinct()
-
-
 def _memory(s, d):
-    """Every batch with the memory text of its run's latest context."""
-    memory = _contexts(s, d).groupBy(F.col("run_id").alias("doc")).agg(F.max_by("memory_text", "ordinal").alias("memory_text"))
-    return tables.with_memory(A._plans(s, d).select(F.col("run_id").alias("doc"), "ordinal"), memory)
+    """Every batch with the memory text of its run's latest context; repeated rows change no maximum."""
+    memory = table(s, d, "batch_contexts").groupBy(F.col("run_id").alias("doc")).agg(F.max_by("memory_text", "ordinal").alias("memory_text"))
+    return tables.with_memory(A._plan_keys(s, d), memory)
 
 
 def _exists(s, d):
-    clean = _contexts(s, d).select(F.col("run_id").alias("doc"), "ordinal")
-    return tables.clean_exists(A._plans(s, d).select(F.col("run_id").alias("doc"), "ordinal"), clean)
+    return tables.clean_exists(A._plan_keys(s, d), table(s, d, "batch_contexts").select(F.col("run_id").alias("doc"), "ordinal"))
+
+
+def _read_clean(s, d):
+    """The clean text of the first batch of every document, as reading it by its number gives it."""
+    return tables.read_clean(_clean(s, d), None, 0).select("doc", F.md5("text").alias("text_hash"))
 
 
 def _trees(s, d):
@@ -54,10 +59,10 @@ def _trees(s, d):
 
 def _rule(which):
     def run(s, d):
-        nodes, content, _ = treejson.load(_trees(s, d))
+        nodes, content, _ = treejson.load(_trees(s, d), keep=True)
         whole = content.where("chunk_number IS NOT NULL AND first_line IS NOT NULL AND last_line IS NOT NULL")
         link = nodes.select("doc", "node", "parent")
-        return which(link, whole, rules.path_closure(link)).select("doc", "node", "parent")
+        return which(link, whole, rules.path_bounds(whole)).select("doc", "node", "parent")
 
     return run
 
@@ -93,11 +98,104 @@ def _committed(s, d):
 
 
 def _payloads(s, d):
-    """The latest context of every run with the tree and ids of its batches."""
+    """The latest context of every run with the tree and ids of its batches. The latest is found by number, then read."""
     nodes = checkpointed(A._nodes(s, d))
-    latest = _contexts(s, d).withColumn("n", F.row_number().over(W.partitionBy("run_id").orderBy(F.desc("ordinal")))).where("n = 1")
+    contexts = table(s, d, "batch_contexts")
+    last = contexts.groupBy("run_id").agg(F.max(F.struct("ordinal", "context_id"))["context_id"].alias("context_id")).select("context_id")
+    latest = contexts.join(last, "context_id", "left_semi").dropDuplicates(["context_id"])
     known = nodes.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("node_seq", "id"))), lambda x: x["id"]).alias("known_ids"))
-    return tools.read_batch(latest.withColumnRenamed("run_id", "doc"), preview.tree_preview(nodes), known)
+    rows = tools.read_batch(latest.withColumnRenamed("run_id", "doc"), preview.tree_preview(nodes), known)
+    return A._flat(rows)
+
+
+def _state(s):
+    return files.StateDir(f"{shared_folder(s)}/state-{uuid.uuid4().hex}")
+
+
+def _batch_rows(s, d):
+    return A._plans(s, d).where("raw_content IS NOT NULL").select(F.col("run_id").alias("doc"), "ordinal", F.col("raw_content").alias("text"))
+
+
+def _raw_mirror(s, d):
+    """All batches written, the first of each document written again, and read back."""
+    state, rows = _state(s), _batch_rows(s, d).withColumnRenamed("text", "raw_content")
+    sinks.write_raw_batches(rows, state)
+    sinks.write_raw_batches(rows.where("ordinal = 0").withColumn("raw_content", F.lit("again")), state)
+    back = tables.latest(s.read.parquet(state.raw), "doc", "ordinal")
+    return back.select("doc", "ordinal", F.md5("raw_content").alias("content_hash"))
+
+
+def _clean_written(s, d):
+    state, rows = _state(s), _batch_rows(s, d)
+    sinks.write_clean_batches(rows, state)
+    sinks.write_clean_batches(rows.where("ordinal = 0").withColumn("text", F.lit("again")), state)
+    return tables.latest(s.read.parquet(state.clean), "doc", "ordinal").select("doc", "ordinal", F.md5("text").alias("text_hash"))
+
+
+def _logs(s, d):
+    """Every batch logged, every other one among the failures too."""
+    state, rows = _state(s), _batch_rows(s, d)
+    entry = rows.select(F.format_string("chunk_%03d", "ordinal").alias("chunk_id"), "doc", "ordinal", F.col("text").alias("content"))
+    sinks.append_log(entry, state)
+    sinks.append_failures(entry.where("ordinal % 2 = 0"), state)
+    both = s.read.json(state.logs).withColumn("kind", F.lit("log")).unionByName(s.read.json(state.failures).withColumn("kind", F.lit("failure")))
+    return both.select("kind", "doc", F.col("chunk_id"), F.md5("content").alias("content_hash"))
+
+
+def _snapshots_written(s, d):
+    """The cursors of every run written, those of every other run advanced and written again, and read back."""
+    state = _state(s)
+    rows = tables.snapshot(table(s, d, "parse_runs")).select(F.col("run_id").cast("string").alias("doc"), "next_start_line", "next_chunk_id", "sections_completed")
+    sinks.write_snapshot(rows, state)
+    sinks.write_snapshot(rows.where("CAST(doc AS BIGINT) % 2 = 0").withColumn("sections_completed", F.col("sections_completed") + 1), state)
+    return files.read_snapshot(s, state)
+
+
+def _tree_written(s, d):
+    state, nodes = _state(s), checkpointed(A._nodes(s, d))
+    sinks.write_tree(nodes, tree.content_spans(A._parsed(s, d), A._ends(s, d)), state)
+    back = s.read.parquet(f"{state.tree}/nodes").groupBy("doc").agg(F.count(F.lit(1)).alias("n_nodes"))
+    spans = s.read.parquet(f"{state.tree}/content").groupBy("doc").agg(F.count(F.lit(1)).alias("n_spans"))
+    return back.join(spans, "doc", "left").select("doc", "n_nodes", F.coalesce("n_spans", F.lit(0)).alias("n_spans"))
+
+
+def _final_written(s, d):
+    """Lines of the merged text as it was written."""
+    state = _state(s)
+    sinks.write_final(_clean(s, d), state)
+    return s.read.text(state.final).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _json_written(s, d):
+    """Every run as an indented JSON document, written and read back."""
+    state = _state(s)
+    runs = table(s, d, "parse_runs").select(F.to_json(F.struct("run_id", "raw_path", "task_model", "batch_tokens")).alias("json"))
+    sinks.write_json(runs, state.at("out"))
+    text = s.read.text(state.at("out")).where("value LIKE '  \"%'")
+    return text.select(F.regexp_extract("value", r'^  "(\w+)": (.*?),?$', 1).alias("key"), F.regexp_extract("value", r'^  "(\w+)": (.*?),?$', 2).alias("value"))
+
+
+def _json_read(s, d):
+    """The runs written as JSON objects and read by their schema."""
+    state, columns = _state(s), "run_id BIGINT, raw_path STRING, batch_tokens INT, started_at STRING"
+    runs = table(s, d, "parse_runs").select("run_id", "raw_path", "batch_tokens", F.date_format("started_at", "yyyy-MM-dd").alias("started_at"))
+    runs.write.json(state.at("runs"))
+    return files.read_json(s, state.at("runs"), columns, one_a_file=False)
+
+
+def _paths(s, d):
+    """The places of a state directory."""
+    state = files.StateDir("root/")
+    names = ("raw", "clean", "logs", "failures", "tree", "snapshot", "memory", "final", "commits")
+    return s.createDataFrame([(n, getattr(state, n)) for n in names], "name string, path string")
+
+
+def _commits(s, d):
+    """A manifest of all batches, committed a document's even and odd ones apart; an empty commit adds nothing."""
+    state, rows = _state(s), A._plan_keys(s, d).withColumn("chunk_id", F.format_string("chunk_%03d", "ordinal"))
+    for part in ("ordinal % 2 = 0", "ordinal % 2 = 1", "false"):
+        sinks.commit(rows.where(part), state)
+    return s.read.json(state.commits).select("doc", "ordinal", "chunk_id")
 
 
 def _stream(s, d):
@@ -107,13 +205,24 @@ def _stream(s, d):
 QUERIES = {
     "src_3_snapshot": lambda s, d: tables.snapshot(table(s, d, "parse_runs")),
     "src_4_tree_scan": lambda s, d: tree.with_root(_as_events(s, d)),
+    "src_5_clean_batch": _read_clean,
     "src_5_6_clean_batches": _exists,
     "src_7_prior_clean_tail": lambda s, d: tables.prior_clean_tails(_clean(s, d), 5),
     "src_8_memory": _memory,
     "src_9_final_merge": lambda s, d: tables.merged_lines(_clean(s, d)),
     "src_10_file_order": _file_order,
+    "src_11_json_read": _json_read,
+    "src_12_paths": _paths,
+    "snk_1_raw_mirror": _raw_mirror,
+    "snk_2_clean_batches": _clean_written,
+    "snk_3_4_logs": _logs,
+    "snk_5_snapshots": _snapshots_written,
+    "snk_6_tree": _tree_written,
+    "snk_7_final": _final_written,
+    "snk_8_json": _json_written,
+    "snk_9_commits": _commits,
     "ord_12_15_rule_1": _rule(rules.rule_1_violations),
-    "ord_13_14_rule_2": _rule(rules.rule_2_violations),
+    "ord_13_14_rule_2": _rule(lambda link, _, bounds: rules.rule_2_violations(link, bounds)),
     "ord_16_content_order": _content_order,
     "ser_1_content": lambda s, d: treejson.load(_trees(s, d))[1],
     "ser_2_4_export": _export,
@@ -157,6 +266,24 @@ ORACLES = {
     "src_4_tree_scan": _LOADED + """, num AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY list_transform(string_split(node, '.'), lambda x: x::INT))::INT AS s FROM nd)
 SELECT n.doc, n.s AS node_seq, n.id, coalesce(nullif(n.title, ''), n.id) AS title, coalesce(p.s, 0) AS parent_seq FROM num n LEFT JOIN num p ON p.doc = n.doc AND p.node = n.parent
 UNION ALL SELECT DISTINCT doc, 0, '__doc_root__', 'Document Root', NULL FROM nd""",
+    "src_5_clean_batch": "SELECT DISTINCT run_id AS doc, md5(raw_content) AS text_hash FROM batch_plans WHERE ordinal = 0",
+    "src_11_json_read": "SELECT run_id, raw_path, batch_tokens, strftime(started_at, '%Y-%m-%d') AS started_at FROM parse_runs",
+    "src_12_paths": """SELECT name, 'root/' || path AS path FROM (VALUES ('raw', 'raw'), ('clean', 'clean'), ('logs', 'logs'), ('failures', 'failures'), ('tree', 'tree'),
+('snapshot', 'state'), ('memory', 'memory.md'), ('final', 'final'), ('commits', 'commits')) AS t(name, path)""",
+    "snk_1_raw_mirror": "SELECT DISTINCT run_id AS doc, ordinal, md5(CASE WHEN ordinal = 0 THEN 'again' ELSE raw_content END) AS content_hash FROM batch_plans WHERE raw_content IS NOT NULL",
+    "snk_2_clean_batches": """SELECT DISTINCT run_id AS doc, ordinal, md5(CASE WHEN ordinal = 0 THEN 'again' || chr(10) WHEN raw_content = '' OR ends_with(raw_content, chr(10)) THEN raw_content
+  ELSE raw_content || chr(10) END || '<!-- cutoff -->' || chr(10)) AS text_hash FROM batch_plans WHERE raw_content IS NOT NULL""",
+    "snk_3_4_logs": """WITH b AS (SELECT DISTINCT run_id AS doc, ordinal, raw_content FROM batch_plans WHERE raw_content IS NOT NULL)
+SELECT kind, doc, 'chunk_' || lpad(ordinal::VARCHAR, greatest(3, length(ordinal::VARCHAR))::INT, '0') AS chunk_id, md5(raw_content) AS content_hash
+FROM b, (VALUES ('log'), ('failure')) AS k(kind) WHERE kind = 'log' OR ordinal % 2 = 0""",
+    "snk_5_snapshots": """SELECT run_id::VARCHAR AS doc, coalesce(next_start_line, 0) AS next_start_line, coalesce(next_chunk_id, 0) AS next_chunk_id,
+coalesce(sections_completed, 0) + CASE WHEN run_id % 2 = 0 THEN 1 ELSE 0 END AS sections_completed FROM parse_runs""",
+    "snk_6_tree": query(TEXTS, LINES, PARSED, NODES, SPANS, select="""SELECT doc, n_nodes, coalesce(n_spans, 0) AS n_spans FROM (SELECT doc, count(*) AS n_nodes FROM nodes GROUP BY ALL)
+LEFT JOIN (SELECT doc, count(*) AS n_spans FROM spans GROUP BY ALL) USING (doc)"""),
+    "snk_7_final": f"WITH {_CLEAN} SELECT line, count(*) AS n FROM kept GROUP BY ALL",
+    "snk_8_json": """SELECT key, value FROM (SELECT unnest([{'key': 'run_id', 'value': run_id::VARCHAR}, {'key': 'raw_path', 'value': '"' || raw_path || '"'},
+{'key': 'task_model', 'value': '"' || task_model || '"'}, {'key': 'batch_tokens', 'value': batch_tokens::VARCHAR}], recursive := true) FROM parse_runs) WHERE value IS NOT NULL""",
+    "snk_9_commits": "SELECT DISTINCT run_id AS doc, ordinal, 'chunk_' || lpad(ordinal::VARCHAR, greatest(3, length(ordinal::VARCHAR))::INT, '0') AS chunk_id FROM batch_plans",
     "src_5_6_clean_batches": """SELECT DISTINCT run_id AS doc, ordinal, (run_id, ordinal) IN (SELECT (run_id, ordinal) FROM batch_contexts) AS has_clean FROM batch_plans""",
     "src_7_prior_clean_tail": f"""WITH {_CLEAN} SELECT doc, chunk + 1 AS ordinal, string_agg(line || chr(10), '' ORDER BY line_no) AS prior_clean_tail
 FROM (SELECT *, row_number() OVER (PARTITION BY doc, chunk ORDER BY line_no DESC) AS back FROM kept) WHERE back <= 5 GROUP BY ALL""",
@@ -177,6 +304,22 @@ UNION ALL SELECT doc, node, 'duplicate id' FROM (SELECT *, min(node) OVER (PARTI
 UNION ALL SELECT doc, node, 'proves on non-proof' FROM nd WHERE proves_id IS NOT NULL AND type <> 'proof'
 UNION ALL SELECT DISTINCT doc, node, 'content incomplete' FROM cn WHERE c IS NULL OR f IS NULL OR l IS NULL
 UNION ALL SELECT doc, node, 'rule 1' FROM r1 UNION ALL SELECT doc, node, 'rule 2' FROM r2""",
+    "ser_2_4_export": query(TEXTS, LINES, PARSED, NODES, SPANS, """listed AS (SELECT doc, node_seq, '[' || string_agg('{"chunk_number":' || chunk || ',"first_line":' || first_line || ',"last_line":' || last_line || '}', ',' ORDER BY chunk, first_line) || ']' AS c
+  FROM spans GROUP BY ALL),
+own AS (SELECT n.doc, n.node_seq, eff_depth AS d, lead(eff_depth, 1, 0) OVER (PARTITION BY n.doc ORDER BY n.node_seq) AS nx,
+    max(CASE WHEN eff_depth = 1 THEN n.node_seq END) OVER (PARTITION BY n.doc ORDER BY n.node_seq ROWS UNBOUNDED PRECEDING) AS top,
+    '{"id":' || to_json(id) || ',"title":' || to_json(title) || coalesce(',"content":' || c, '') || CASE WHEN node_type <> 'generic' THEN ',"node_type":"' || node_type || '"' ELSE '' END
+      || CASE WHEN coalesce(proves, '') <> '' THEN ',"proves_id":' || to_json(proves) ELSE '' END || CASE WHEN len(deps) > 0 THEN ',"dependencies":' || to_json(deps) ELSE '' END AS o
+  FROM nodes n LEFT JOIN listed l ON l.doc = n.doc AND l.node_seq = n.node_seq)""",
+        select="""SELECT doc, top AS node_seq, string_agg(o || CASE WHEN nx > d THEN ',"children":[' ELSE '}' || repeat(']}', d - greatest(nx, 1)) || CASE WHEN nx > 1 THEN ',' ELSE '' END END, '' ORDER BY node_seq) AS json
+FROM own GROUP BY doc, top"""),
+    "api_2_read_batch": query(TEXTS, LINES, PARSED, NODES, CLOSURE, A._DRAWN, A._TRACED, """shown AS (SELECT doc, string_agg(line, chr(10) ORDER BY node_seq) AS preview FROM (
+SELECT d.*, t.on_trace, sum(CASE WHEN t.on_trace THEN 0 ELSE 1 END) OVER (PARTITION BY d.doc ORDER BY d.node_seq ROWS UNBOUNDED PRECEDING) AS n
+FROM drawn d JOIN traced t ON t.doc = d.doc AND t.node_seq = d.node_seq) WHERE on_trace OR n <= 100 GROUP BY doc),
+known AS (SELECT doc, string_agg(id, '|' ORDER BY node_seq) AS known_ids FROM nodes GROUP BY ALL),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ordinal DESC NULLS LAST, context_id DESC) AS n FROM (SELECT DISTINCT * FROM batch_contexts)) WHERE n = 1)""",
+        select="""SELECT run_id AS doc, raw_content, raw_line_count AS batch_line_count, coalesce(preview, '') AS current_tree, coalesce(prior_clean_tail, '') AS prior_clean_tail,
+coalesce(known_ids, '') AS known_ids, coalesce(memory_text, '') AS memory_text FROM latest LEFT JOIN shown ON shown.doc = run_id LEFT JOIN known ON known.doc = run_id""", recursive=True),
     "api_12_stream_fold": query(TEXTS, "steps AS (SELECT doc, chunk, row_number() OVER (PARTITION BY doc ORDER BY chunk) - 1 AS step FROM texts)", LINES, PARSED, NODES,
         select="""SELECT n.doc, step::INT AS step, line_no, node_seq, id, title, node_type, eff_depth, parent_seq FROM nodes n JOIN steps USING (doc, chunk)"""),
 }

@@ -85,8 +85,9 @@ def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
     return text_lines(read_text(spark, path), "path", None, "text", as_file=True).drop("chunk")
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, schema: str, *, one_a_file: bool = True) -> DataFrame:
+    """JSON documents, one a file or, else, one a line."""
+    return spark.read.schema(schema).json(path, multiLine=one_a_file)
 
 
 def read_snapshot(spark: SparkSession, state: StateDir) -> DataFrame:

@@ -60,8 +60,9 @@ def clean_exists(plans: DataFrame, clean: DataFrame) -> DataFrame:
 
 
 def read_clean(clean: DataFrame, doc, ordinal: int) -> DataFrame:
-    """The clean text of one batch; no row if there is none."""
-    return clean.where((F.col("doc") == F.lit(doc)) & (F.col("ordinal") == ordinal)).select("text")
+    """(doc, text): the clean text of one batch, or of that batch of every document without ``doc``; no row if there is none."""
+    found = clean.where(F.col("ordinal") == ordinal)
+    return (found if doc is None else found.where(F.col("doc") == F.lit(doc))).select("doc", "text")
 
 
 def with_memory(batches: DataFrame, memory: DataFrame) -> DataFrame:
