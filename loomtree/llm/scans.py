@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,6 +51,16 @@ _LINE_HYPHEN = re.compile(rf"[{HYPHENS}][ \t]*\n\s*")
 _CONFUSED = re.compile("|".join(sorted({a for a, _ in CONFUSIONS}, key=len, reverse=True)))
 
 
+def _broken(line: str) -> re.Match | None:
+    """The first half of a word that a line without blanks at its end breaks off; it has no blank in it."""
+    return _BROKEN.search(line, line.rfind(" ") + 1)
+
+
+@lru_cache(1 << 16)
+def _read_as(word: str) -> frozenset[str]:
+    return frozenset(readings(word))
+
+
 def readings(word: str) -> list[str]:
     """The words that ``word`` may be a wrong reading of, by one confusion."""
     found = []
@@ -178,7 +189,7 @@ def examine(text: str, sure: dict[str, int], seen: Seen, known: list[int] | None
         if line[-1] not in _TAILS:  # most lines
             continue
         line = line.rstrip(" \t")
-        if line[-1] not in HYPHENS or not (broken := _BROKEN.search(line)):
+        if line[-1] not in HYPHENS or not (broken := _broken(line)):
             continue
         open_.add(i)
         if n + 1 == len(running):
@@ -386,7 +397,7 @@ def repair(text: str, fixes: list[tuple[int, str, str]]) -> list[str]:
                 paragraphs.append([])
             continue
         if n in wrong:
-            s = _WORD.sub(lambda m: next((r for r in wrong[n] if r in readings(m.group())), m.group()), s)
+            s = _WORD.sub(lambda m: next((r for r in wrong[n] if r in _read_as(m.group())), m.group()), s)
         if is_heading(s):
             if carried is not None:
                 paragraphs[-1].append(carried)
@@ -400,7 +411,7 @@ def repair(text: str, fixes: list[tuple[int, str, str]]) -> list[str]:
             m = _GOES_ON.match(s)
             s = carried + s[m.end() :] if m else carried + s
             carried = None
-        if n in hyphen and (m := _BROKEN.search(s)):
+        if n in hyphen and (m := _broken(s)):
             carried = s[: m.start()] + hyphen[n]
             continue
         paragraphs[-1].append(s)
@@ -412,9 +423,8 @@ def repair(text: str, fixes: list[tuple[int, str, str]]) -> list[str]:
 def repaired_texts(contexts: DataFrame) -> DataFrame:
     """(context_id, paragraph_no, text): continuous paragraphs; a text's own repairs are bounded by its lines."""
     fixes = scan_repairs(contexts)
-    per = fixes.groupBy("context_id").agg(
-        F.sort_array(F.collect_list(F.struct("line_no", "kind", "fixed"))).alias("fixes")
-    )
+    each = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "kind", "fixed"))), lambda x: F.concat_ws("\t", x["line_no"], x["kind"], x["fixed"]))
+    per = fixes.groupBy("context_id").agg(F.array_join(each, "\n").alias("fixes"))  # no word has a blank
     texts = contexts.select("context_id", "raw_content").where(F.col("raw_content").isNotNull())
     once = texts.repartition("context_id").distinct()  # one shuffle serves the removal of repeats and the join
     to = schema(REPAIRED)
@@ -423,8 +433,8 @@ def repaired_texts(contexts: DataFrame) -> DataFrame:
         def rows():
             for b in batches:
                 for ident, text, found in zip(*(b.column(i).to_pylist() for i in range(3))):
-                    marks = [(f["line_no"], f["kind"], f["fixed"]) for f in found or []]
-                    for k, paragraph in enumerate(repair(text, marks)):
+                    marks = [mark.split("\t") for mark in found.split("\n")] if found else []
+                    for k, paragraph in enumerate(repair(text, [(int(n), kind, fixed) for n, kind, fixed in marks])):
                         yield ident, k, paragraph
 
         yield from emit(rows(), to, 2_000)
