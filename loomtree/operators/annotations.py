@@ -127,12 +127,12 @@ def declared_depth(depth: Column) -> Column:
 
 def stored_events(events: DataFrame) -> DataFrame:
     """A table of events (annotation_events) in the same shape, rows delivered twice once; a chunk's events end at its
-    first cutoff."""
+    first cutoff. One shuffle by chunk serves the removal of repeats and all that looks at a chunk later."""
     once = events.select(
         F.col("run_id").alias("doc"), F.col("chunk_number").alias("chunk"), F.col("line_number").alias("line_no"), "event_id",
         "event_type", F.coalesce("id", F.lit("")).alias("id"), F.coalesce("depth", F.lit(0)).alias("depth"), "title", "node_type",
         "proves", "deps",
-    ).distinct()
+    ).repartition("doc", "chunk").distinct()
     part = W.partitionBy("doc", "chunk")
     cut = F.min(F.when(F.col("event_type") == "cutoff", F.col("line_no"))).over(part)
     kept = once.withColumn("_cut", cut).where(F.col("_cut").isNull() | (F.col("line_no") <= F.col("_cut"))).drop("_cut")

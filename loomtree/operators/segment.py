@@ -68,7 +68,9 @@ def plan_batches(texts: DataFrame, doc: str, text: str, budget: int | Column, co
 
     A batch takes lines until their tokens reach the budget, the crossing line included, so it has one line at
     least. Its own token count is that of the joined text. The greedy walk depends on every line before, so it is a
-    fold over one document's line counts; documents are independent tasks.
+    fold over one document's line counts in the row that holds its text: nothing is shuffled, and a document costs its
+    lines and, for the list of ends, half the square of its batches (a text of 1 GB in batches of 16,000 tokens: 15,000
+    batches). Where a text is larger than a row can hold, ``numbered_lines`` serves one batch at a time.
     """
     # Line ends stay with their lines; a last line without one stays as it is.
     limit = F.lit(budget) if isinstance(budget, int) else budget

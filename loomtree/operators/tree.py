@@ -42,17 +42,22 @@ def effective_depths(events: DataFrame) -> DataFrame:
 
 
 def _last_at_level(levelled: DataFrame, level: str, what: str, name: str) -> DataFrame:
-    """For rows with ``level``: the last non-null ``what`` of an earlier row of the document at that level."""
+    """For rows with ``level``: the last non-null ``what`` of an earlier row of the document at that level.
+
+    What earlier chunks leave at each level comes as one map per chunk, so the rows themselves, partitioned by document and
+    chunk for the window, are not shuffled again for the join.
+    """
     inside = W.partitionBy("doc", "chunk", level).orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     local = levelled.withColumn("_here", F.last(what, ignorenulls=True).over(inside))
     tops = levelled.groupBy("doc", "chunk", level).agg(F.max_by(what, F.when(F.col(what).isNotNull(), F.col("at"))).alias("_top"))
     earlier = W.partitionBy("doc", level).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    tops = tops.select(
-        F.col("doc").alias("_d"), F.col("chunk").alias("_c"), F.col(level).alias("_l"),
-        F.last("_top", ignorenulls=True).over(earlier).alias("_early"),
-    )
-    on = (F.col("doc") == F.col("_d")) & (F.col("chunk") == F.col("_c")) & (F.col(level) == F.col("_l"))
-    return local.join(tops, on).withColumn(name, F.coalesce("_here", "_early")).drop("_d", "_c", "_l", "_here", "_early")
+    before = tops.withColumn("_early", F.last("_top", ignorenulls=True).over(earlier)).where(F.col("_early").isNotNull())
+    maps = before.groupBy(F.col("doc").alias("_d"), F.col("chunk").alias("_c")).agg(
+        F.map_from_entries(F.collect_list(F.struct(level, "_early"))).alias("_levels")  # as many as the tree is deep
+    )
+    joined = local.join(maps, (F.col("doc") == F.col("_d")) & (F.col("chunk") == F.col("_c")), "left")
+    found = F.coalesce("_here", F.try_element_at("_levels", F.col(level)))
+    return joined.where(F.col("doc").isNotNull() & F.col("chunk").isNotNull()).withColumn(name, found).drop("_d", "_c", "_levels", "_here")
 
 
 def nodes(events: DataFrame) -> DataFrame:
