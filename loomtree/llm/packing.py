@@ -29,6 +29,8 @@ from loomtree.session import ship
 CAPACITY, SEGMENTS = 2048, 64
 #: Items per block: bounds the memory of a task (some 5 MB) and its time (about a second).
 BLOCK_ITEMS = 40_000
+#: Tasks at most: with more blocks a task packs several, one after the other.
+MOST_TASKS = 10_000
 
 SIZES = "doc_id bigint,piece_no int,start_token bigint,n_tokens int,loss_tokens int"
 PACKED = "container_id bigint,position int,doc_id bigint,piece_no int,start_token bigint,n_tokens int,loss_tokens int"
@@ -130,9 +132,9 @@ def packed(
     fills, empty = F.col("n_tokens") == capacity, F.col("n_tokens") == 0
     rest = items.where(~fills & ~empty)
     blocks = max(1, -(-rest.count() // block_items))
-    # one partition a block, which adaptive execution leaves alone
+    # a partition holds whole blocks, one if they are not very many, and adaptive execution leaves it alone
     block = F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(blocks)).cast("int")
-    rest = rest.withColumn("block", block).repartitionById(blocks, F.col("block"))
+    rest = rest.withColumn("block", block).repartitionById(min(blocks, MOST_TASKS), F.col("block"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("piece_no", "ascending")])

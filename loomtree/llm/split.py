@@ -128,7 +128,9 @@ def split_oversized(plans: DataFrame, *, with_text: bool = True) -> DataFrame:
 
     Defined results: a null or non-positive limit, and a text within its limit, gives one piece, cut 'whole'; a null
     overlap is 0, one not below the limit is taken as the limit less one; null text gives no piece, empty text one of
-    no tokens; a plan delivered twice counts once; a stored token count is not used; other columns are ignored.
+    no tokens; a plan delivered twice counts once; a stored token count is not used; other columns are ignored. A piece
+    adds limit - overlap tokens at least, so the output has at most limit / (limit - overlap) times the text: an overlap
+    just under the limit asks for nearly the whole limit again with every token.
     """
     ship(plans.sparkSession)
     rows = plans.select("plan_id", "raw_content", "clean_token_target", "overlap_tokens").where(

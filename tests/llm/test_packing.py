@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from loomtree.llm import tokens
+from loomtree.llm import packing, tokens
 from loomtree.llm.packing import containers, pack, packed
 
 DOCS = "doc_id bigint, text string, block int, n_tokens int, position string"
@@ -41,12 +41,13 @@ def test_each_limit_alone_binds():
         pack(np.array([11]), np.array([1]), 10)
 
 
-def test_texts_are_whole_unless_they_exceed_a_container(spark):
+def test_texts_are_whole_unless_they_exceed_a_container(spark, monkeypatch):
     rnd = random.Random(2)
     rows = [(k, " ".join(rnd.choice(["alpha", "beta", "@ - id=x\n", "Größe"]) for _ in range(rnd.randint(0, 300)))) for k in range(80)]
     rows += [(100, "word " * 5000), (101, None), (102, "")]
     df = spark.createDataFrame([(*r, 0, 0, "") for r in rows], DOCS)
-    for block in (40_000, 20):
+    for block, tasks in ((40_000, 9), (20, 9), (8, 3)):
+        monkeypatch.setattr(packing, "MOST_TASKS", tasks)
         got = packed(df, block_items=block).collect()
         by = {}
         for r in got:
