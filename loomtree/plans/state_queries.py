@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtree.checkpoints import checkpointed, shared_folder
+from loomtree.checkpoints import checkpointed, removed_folder, shared_folder
 from loomtree.functions import patterns as P
 from loomtree.operators import lines, preview, rules, tree, treejson
 from loomtree.plans import annotation_queries as A
@@ -112,6 +112,13 @@ def _state(s):
     return files.StateDir(f"{shared_folder(s)}/state-{uuid.uuid4().hex}")
 
 
+def _read_back(s, state, rows):
+    """What was read from a state directory that is needed no more."""
+    kept = checkpointed(rows)
+    removed_folder(s, state.root)
+    return kept
+
+
 def _batch_rows(s, d):
     return A._plans(s, d).where("raw_content IS NOT NULL").select(F.col("run_id").alias("doc"), "ordinal", F.col("raw_content").alias("text"))
 
@@ -122,14 +129,15 @@ def _raw_mirror(s, d):
     sinks.write_raw_batches(rows, state)
     sinks.write_raw_batches(rows.where("ordinal = 0").withColumn("raw_content", F.lit("again")), state)
     back = tables.latest(s.read.parquet(state.raw), "doc", "ordinal")
-    return back.select("doc", "ordinal", F.md5("raw_content").alias("content_hash"))
+    return _read_back(s, state, back.select("doc", "ordinal", F.md5("raw_content").alias("content_hash")))
 
 
 def _clean_written(s, d):
     state, rows = _state(s), _batch_rows(s, d)
     sinks.write_clean_batches(rows, state)
     sinks.write_clean_batches(rows.where("ordinal = 0").withColumn("text", F.lit("again")), state)
-    return tables.latest(s.read.parquet(state.clean), "doc", "ordinal").select("doc", "ordinal", F.md5("text").alias("text_hash"))
+    back = tables.latest(s.read.parquet(state.clean), "doc", "ordinal")
+    return _read_back(s, state, back.select("doc", "ordinal", F.md5("text").alias("text_hash")))
 
 
 def _logs(s, d):
@@ -139,7 +147,7 @@ def _logs(s, d):
     sinks.append_log(entry, state)
     sinks.append_failures(entry.where("ordinal % 2 = 0"), state)
     both = s.read.json(state.logs).withColumn("kind", F.lit("log")).unionByName(s.read.json(state.failures).withColumn("kind", F.lit("failure")))
-    return both.select("kind", "doc", F.col("chunk_id"), F.md5("content").alias("content_hash"))
+    return _read_back(s, state, both.select("kind", "doc", F.col("chunk_id"), F.md5("content").alias("content_hash")))
 
 
 def _snapshots_written(s, d):
@@ -148,7 +156,7 @@ def _snapshots_written(s, d):
     rows = tables.snapshot(table(s, d, "parse_runs")).select(F.col("run_id").cast("string").alias("doc"), "next_start_line", "next_chunk_id", "sections_completed")
     sinks.write_snapshot(rows, state)
     sinks.write_snapshot(rows.where("CAST(doc AS BIGINT) % 2 = 0").withColumn("sections_completed", F.col("sections_completed") + 1), state)
-    return files.read_snapshot(s, state)
+    return _read_back(s, state, files.read_snapshot(s, state))
 
 
 def _tree_written(s, d):
@@ -156,14 +164,14 @@ def _tree_written(s, d):
     sinks.write_tree(nodes, tree.content_spans(A._parsed(s, d), A._ends(s, d)), state)
     back = s.read.parquet(f"{state.tree}/nodes").groupBy("doc").agg(F.count(F.lit(1)).alias("n_nodes"))
     spans = s.read.parquet(f"{state.tree}/content").groupBy("doc").agg(F.count(F.lit(1)).alias("n_spans"))
-    return back.join(spans, "doc", "left").select("doc", "n_nodes", F.coalesce("n_spans", F.lit(0)).alias("n_spans"))
+    return _read_back(s, state, back.join(spans, "doc", "left").select("doc", "n_nodes", F.coalesce("n_spans", F.lit(0)).alias("n_spans")))
 
 
 def _final_written(s, d):
     """Lines of the merged text as it was written."""
     state = _state(s)
     sinks.write_final(_clean(s, d), state)
-    return s.read.text(state.final).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    return _read_back(s, state, s.read.text(state.final).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def _json_written(s, d):
@@ -172,7 +180,8 @@ def _json_written(s, d):
     runs = table(s, d, "parse_runs").select(F.to_json(F.struct("run_id", "raw_path", "task_model", "batch_tokens")).alias("json"))
     sinks.write_json(runs, state.at("out"))
     text = s.read.text(state.at("out")).where("value LIKE '  \"%'")
-    return text.select(F.regexp_extract("value", r'^  "(\w+)": (.*?),?$', 1).alias("key"), F.regexp_extract("value", r'^  "(\w+)": (.*?),?$', 2).alias("value"))
+    parts = [F.regexp_extract("value", r'^  "(\w+)": (.*?),?$', k).alias(name) for k, name in ((1, "key"), (2, "value"))]
+    return _read_back(s, state, text.select(*parts))
 
 
 def _json_read(s, d):
@@ -180,7 +189,7 @@ def _json_read(s, d):
     state, columns = _state(s), "run_id BIGINT, raw_path STRING, batch_tokens INT, started_at STRING"
     runs = table(s, d, "parse_runs").select("run_id", "raw_path", "batch_tokens", F.date_format("started_at", "yyyy-MM-dd").alias("started_at"))
     runs.write.json(state.at("runs"))
-    return files.read_json(s, state.at("runs"), columns, one_a_file=False)
+    return _read_back(s, state, files.read_json(s, state.at("runs"), columns, one_a_file=False))
 
 
 def _paths(s, d):
@@ -195,7 +204,7 @@ def _commits(s, d):
     state, rows = _state(s), A._plan_keys(s, d).withColumn("chunk_id", F.format_string("chunk_%03d", "ordinal"))
     for part in ("ordinal % 2 = 0", "ordinal % 2 = 1", "false"):
         sinks.commit(rows.where(part), state)
-    return s.read.json(state.commits).select("doc", "ordinal", "chunk_id")
+    return _read_back(s, state, s.read.json(state.commits).select("doc", "ordinal", "chunk_id"))
 
 
 def _stream(s, d):

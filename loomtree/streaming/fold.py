@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loomtree.checkpoints import removed_folder, shared_folder
+from loomtree.checkpoints import checkpointed, removed_folder, shared_folder
 from loomtree.operators.annotations import header_array
 from loomtree.session import ship
 
@@ -96,11 +96,11 @@ def fold_available(spark: SparkSession, source: str, out: str, *, files_per_trig
 
 def fold_table(batches: DataFrame) -> DataFrame:
     """The fold of a whole table of batches run as a stream, in the shared checkpoint folder. Only header rows are
-    written there for the stream to read, and are removed when it has ended."""
+    written there for the stream to read, and all is removed when the nodes are kept as a checkpoint."""
     spark = batches.sparkSession
     folder = f"{shared_folder(spark)}/fold-{uuid.uuid4().hex}"
     with_heads(batches).write.parquet(f"{folder}/in")
     nodes = _run(fold_heads(spark.readStream.schema(HEADS).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")), folder)
-    for part in ("in", "progress"):
-        removed_folder(spark, f"{folder}/{part}")
-    return nodes
+    kept = checkpointed(nodes)
+    removed_folder(spark, folder)
+    return kept
