@@ -3,17 +3,18 @@
 A text is the set of its shingles of ``SHINGLE`` words with their places. A leak is a *window* of ``words`` consecutive
 words of an item: it matches only if all its shingles do, so one of them suffices as its necessary prefix.
 
-1. One pass over the corpus counts in how many documents each shingle of an item stands. A Bloom filter of the items'
-   shingles, of bounded size, leaves nearly nothing else to be counted; each task counts before it sends.
-2. The shingles of an item are ordered by that rarity, and each window's prefix is its rarest shingle. Windows with a
-   shingle that stands in no document need none. Neighbouring windows mostly share their prefix.
-3. A second pass sends, for each prefix shingle in a document, its place and as many words around it as a window
-   holding it can have. These candidates alone are shuffled, and meet the items' prefixes in an equi-join by hash.
-4. Length bound: texts shorter than a window have no shingles here. Positional bound: a window begins at most
-   ``words - SHINGLE`` words before its prefix. In the window of words around the prefix the two texts are
-   compared word by word: the hashes only propose.
-
-The corpus is read twice, whatever the number of items. The driver sees the two filters and nothing else.
+1. One pass over the corpus. A Bloom filter of the items' shingles, of bounded size, tells which shingles of a document may
+   be of an item. The pass counts in how many documents each of these stands, and, by length and position, keeps the
+   *stretches* in which so many follow each other without a break as a window has: a window of an item lies in one.
+   Counts are combined before they are sent, and stretches are the leaked passages and little else.
+2. The shingles of an item are ordered by the rarity that was counted, and each window's prefix is its rarest shingle.
+   Windows with a shingle that stands in no document need none. Neighbouring windows mostly share their prefix.
+3. Each prefix shingle in a stretch gives a candidate: its place and as many words around it as a window holding it can
+   have. Candidates meet the items' prefixes in an equi-join by hash.
+4. In the window of words around the prefix, at most ``words - SHINGLE`` to each side, the two texts are compared word by
+   word: the hashes only propose.
+
+The corpus is read once, whatever the number of items. The driver sees the two filters and nothing else.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from loomtree.session import ship
 WORDS = 12
 #: Words of a shingle.
 SHINGLE = 5
-#: Rows of a filter at most (64 MB): with more shingles it lets more through to the exact join, and loses none.
+#: Rows of a filter at most (64 MB, for 44 million shingles): with more it lets more through, and loses none.
 FILTER_ROWS = 8192
 #: Words whose hashes a worker keeps, and shingles it counts, before it starts anew.
 KEPT = 500_000
@@ -108,9 +109,22 @@ def _filter(keys: DataFrame):
     return (keys.sparkSession.sparkContext.broadcast(bloom.bloom_array(table, rows)) if n else None), n
 
 
-def _frequencies(docs: DataFrame, sent, words: int, size: int) -> DataFrame:
-    """(h, n): in how many documents each shingle stands that the filter lets through."""
-    to = schema("h bigint,n bigint")
+SCANNED = "h bigint,n bigint,doc_id bigint,at int,words string"
+
+
+def stretches(found: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The first and last of every run of ``least`` and more numbers that follow each other, in rising numbers."""
+    if len(found) < least:
+        return []
+    ends = np.flatnonzero(np.diff(found) > 1)
+    first, last = np.concatenate([[0], ends + 1]), np.concatenate([ends, [len(found) - 1]])
+    return [(int(found[a]), int(found[z])) for a, z in zip(first, last) if z - a + 1 >= least]
+
+
+def _scanned(docs: DataFrame, sent, words: int, size: int) -> DataFrame:
+    """(h, n): in how many documents of a task each shingle stands that the filter lets through; and, with h null,
+    (doc_id, at, words): the stretches of documents that may hold a window."""
+    to, span = schema(SCANNED), words - size + 1
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -118,26 +132,30 @@ def _frequencies(docs: DataFrame, sent, words: int, size: int) -> DataFrame:
 
         def counted():
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            return emit(zip(values.view(np.int64).tolist(), n.tolist()), to)
+            return emit(((h, k, None, None, None) for h, k in zip(values.view(np.int64).tolist(), n.tolist())), to)
 
         for b in batches:
-            for text in b.column(0).to_pylist():
+            kept = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seq = words_of(text)
                 if len(seq) < words:
                     continue
                 each = shingle_hashes(seq, size, hashes)
-                found = np.unique(each[bloom.hits(each, known)])
-                if len(found):
-                    held.append(found)
-                    most += len(found)
+                places = bloom.hits(each, known)
+                if not len(places):
+                    continue
+                kept += [(None, None, doc, a, " ".join(seq[a : z + size])) for a, z in stretches(places, span)]
+                held.append(np.unique(each[places]))
+                most += len(held[-1])
+            if kept:
+                yield from emit(kept, to, 2_000)
             if most > KEPT:
                 yield from counted()
                 held, most = [], 0
         if held:
             yield from counted()
 
-    rows = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "h bigint,n bigint")
-    return rows.groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, SCANNED)
 
 
 PREFIX = "h bigint,item_id bigint,i_before int,i_words string"
@@ -178,25 +196,24 @@ def _prefixes(items: DataFrame, shingles: DataFrame, frequency: DataFrame, words
 CANDIDATES = "h bigint,doc_id bigint,at int,d_before int,d_words string"
 
 
-def _candidates(docs: DataFrame, sent, words: int, size: int) -> DataFrame:
-    """(h, doc_id, at, d_before, d_words): the places of prefix shingles in documents with the words around them."""
+def _candidates(found: DataFrame, sent, words: int, size: int) -> DataFrame:
+    """(h, doc_id, at, d_before, d_words): the places of prefix shingles in stretches with the words around them."""
     to, reach = schema(CANDIDATES), words - size
 
     def run(batches):
         def rows():
             hashes, known = WordHashes(), sent.value
             for b in batches:
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    seq = words_of(text)
-                    if len(seq) < words:
-                        continue
+                for doc, start, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    seq = text.split(" ")
                     each = shingle_hashes(seq, size, hashes)
+                    own = each.view(np.int64)
                     for at in bloom.hits(each, known).tolist():
-                        yield int(each[at].view(np.int64)), doc, at, *_context(seq, at, reach, words)
+                        yield int(own[at]), doc, start + at, *_context(seq, at, reach, words)
 
         yield from emit(rows(), to)
 
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, CANDIDATES)
+    return found.select("doc_id", "at", "words").mapInArrow(run, CANDIDATES)
 
 
 def common_run(a: list[str], a_at: int, b: list[str], b_at: int, size: int) -> tuple[int, int]:
@@ -239,11 +256,13 @@ def leaked_windows(docs: DataFrame, items: DataFrame, *, words: int = WORDS, shi
     sent, n = _filter(shingles)
     if not n:
         return none
-    prefixes = checkpointed(_prefixes(texts, shingles, _frequencies(docs, sent, words, size), words, size))
+    scanned = checkpointed(_scanned(docs, sent, words, size))
+    frequency = scanned.where("h IS NOT NULL").groupBy("h").agg(F.sum("n").alias("n"))
+    prefixes = checkpointed(_prefixes(texts, shingles, frequency, words, size))
     sent, n = _filter(prefixes)
     if not n:
         return none
-    return _verified(_candidates(docs, sent, words, size).join(prefixes, "h"), words, size)
+    return _verified(_candidates(scanned.where("words IS NOT NULL"), sent, words, size).join(prefixes, "h"), words, size)
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, *, words: int = WORDS) -> DataFrame:
@@ -254,7 +273,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, words: int = WORDS) ->
 
     Defined results: null texts, and items or documents of fewer words, leak nothing; repeated rows of documents or
     items count once; an item that holds a window twice counts it once; empty tables give no rows; other columns are
-    ignored. Reads the documents twice: once to count, when this is called, and once to search.
+    ignored. Reads the documents once, when this is called.
     """
     starts = F.array_sort(F.collect_set("start"))  # as many as the document has words
     found = leaked_windows(docs, items, words=words).groupBy("doc_id", "item_id").agg(starts.alias("s"))

@@ -38,6 +38,7 @@ def test_found_equals_brute_force_with_any_filter(spark, monkeypatch):
             with monkeypatch.context() as m:
                 if full:
                     m.setattr(leaks.bloom, "bloom_array", lambda table, rows: np.full(1, 2**64 - 1, np.uint64))
+                    m.setattr(leaks, "KEPT", 40)
                 got = [tuple(r) for r in leaked_windows(d, i, words=size, shingle=shingle).select("doc_id", "item_id").distinct().collect()]
             assert set(got) == brute(docs, items, size)
 
@@ -50,6 +51,11 @@ def test_rows_of_one_item_with_different_texts(spark):
     assert got == {(1, 7): (3, 14, 0), (2, 7): (3, 14, 0), (3, 7): (6, 14, 0)}
 
 
+def test_stretches():
+    assert leaks.stretches(np.array([1, 2, 3, 5, 6, 9, 10, 11]), 3) == [(1, 3), (9, 11)]
+    assert leaks.stretches(np.array([4, 5]), 3) == [] and leaks.stretches(np.array([4, 5, 6]), 3) == [(4, 6)]
+
+
 def test_every_window_has_its_rarest_shingle_as_prefix():
     rnd = random.Random(4)
     for _ in range(50):
