@@ -17,16 +17,16 @@ def text(name, n):
 
 
 def test_a_run_is_resumed_and_merges_to_the_text(spark, tmp_path):
-    raw = spark.createDataFrame([("a", text("a", 9)), ("b", text("b", 3)), ("c", "")], "doc string, text string")
+    raw = spark.createDataFrame([("a", text("a", 5)), ("b", text("b", 3)), ("c", "")], "doc string, text string")
     state = StateDir(str(tmp_path / "state"))
     first = run(spark, raw, state, annotated_as_is, RunConfig(batch_tokens=18, max_sections=2))
     assert {(r.doc, r.sections_completed) for r in first.collect()} == {("a", 2), ("b", 2)}
     with pytest.raises(ValueError):
         run(spark, raw, state, annotated_as_is)
     last = run(spark, raw, state, annotated_as_is, RunConfig(batch_tokens=18, resume=True))
-    assert {(r.doc, r.next_start_line) for r in last.collect()} == {("a", 18), ("b", 6)}
+    assert {(r.doc, r.next_start_line) for r in last.collect()} == {("a", 10), ("b", 6)}
     merged = [r.value for r in spark.read.text(state.final).collect()]
-    assert sorted(merged) == sorted((text("a", 9) + text("b", 3)).splitlines())
+    assert sorted(merged) == sorted((text("a", 5) + text("b", 3)).splitlines())
     clean = clean_table(spark, state)
     events = annotations.parse_events(lines.text_lines(clean, "doc", "ordinal", "text"))
     want = tree.nodes(events)
@@ -40,13 +40,13 @@ def test_a_run_is_resumed_and_merges_to_the_text(spark, tmp_path):
 
 def test_a_resumed_run_keeps_earlier_documents_and_takes_new_ones(spark, tmp_path):
     schema, state = "doc string, text string", StateDir(str(tmp_path / "state"))
-    run(spark, spark.createDataFrame([("a", text("a", 5))], schema), state, annotated_as_is, RunConfig(batch_tokens=18))
+    run(spark, spark.createDataFrame([("a", text("a", 2))], schema), state, annotated_as_is, RunConfig(batch_tokens=18))
     mirrored = {(r.doc, r.ordinal) for r in spark.read.parquet(state.raw).collect()}
-    both = spark.createDataFrame([("a", text("a", 5)), ("b", text("b", 2))], schema)
+    both = spark.createDataFrame([("a", text("a", 2)), ("b", text("b", 2))], schema)
     run(spark, both, state, annotated_as_is, RunConfig(batch_tokens=25, resume=True))
     after = {(r.doc, r.ordinal) for r in spark.read.parquet(state.raw).collect()}
     assert mirrored < after and {d for d, _ in after - mirrored} == {"b"}
-    assert {(r.doc, r.next_start_line) for r in progress(spark, state).collect()} == {("a", 10), ("b", 4)}
+    assert {(r.doc, r.next_start_line) for r in progress(spark, state).collect()} == {("a", 4), ("b", 4)}
 
 
 def test_a_run_broken_at_any_point_goes_on_from_its_last_commit(spark, tmp_path, monkeypatch):
