@@ -14,7 +14,8 @@ words of an item: it matches only if all its shingles do, so one of them suffice
 4. In the window of words around the prefix, at most ``words - SHINGLE`` to each side, the two texts are compared word by
    word: the hashes only propose.
 
-The corpus is read once, whatever the number of items. The driver sees the two filters and nothing else.
+The corpus is read once, whatever the number of items. Items of one text are one until the end: copies of an item, however
+many, are joined and compared once. The driver sees the two filters and nothing else.
 """
 
 from __future__ import annotations
@@ -83,8 +84,8 @@ def _context(words: list[str], at: int, before: int, after: int) -> tuple[int, s
 
 
 def _distinct_shingles(items: DataFrame, words: int, size: int) -> DataFrame:
-    """(item_id, at, h) of all items of a window and more."""
-    to = schema("item_id bigint,at int,h bigint")
+    """(text_id, at, h) of all items of a window and more."""
+    to = schema("text_id bigint,at int,h bigint")
 
     def run(batches):
         def rows():
@@ -97,7 +98,7 @@ def _distinct_shingles(items: DataFrame, words: int, size: int) -> DataFrame:
 
         yield from emit(rows(), to)
 
-    return items.mapInArrow(run, "item_id bigint,at int,h bigint")
+    return items.mapInArrow(run, "text_id bigint,at int,h bigint")
 
 
 def _filter(keys: DataFrame):
@@ -158,7 +159,7 @@ def _scanned(docs: DataFrame, sent, words: int, size: int) -> DataFrame:
     return docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, SCANNED)
 
 
-PREFIX = "h bigint,item_id bigint,i_before int,i_words string"
+PREFIX = "h bigint,text_id bigint,i_before int,i_words string"
 
 
 def prefix_places(rarity: list[tuple[int, int] | None], windows: int, span: int) -> set[int]:
@@ -169,28 +170,25 @@ def prefix_places(rarity: list[tuple[int, int] | None], windows: int, span: int)
 
 
 def _prefixes(items: DataFrame, shingles: DataFrame, frequency: DataFrame, words: int, size: int) -> DataFrame:
-    """(h, item_id, i_before, i_words): the prefix shingles of the items' windows with the words around them."""
-    rated = shingles.join(frequency, "h", "left").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("at", "h", "n"))).alias("s"))
+    """(h, text_id, i_before, i_words): the prefix shingles of the items' windows with the words around them."""
+    counts = F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"])  # as many as the item has words
+    rated = shingles.join(frequency, "h", "left").groupBy("text_id").agg(counts.alias("counts"))
     to, reach = schema(PREFIX), words - size
 
     def run(batches):
         def rows():
+            hashes = WordHashes()
             for b in batches:
                 for item, text, found in zip(*(b.column(i).to_pylist() for i in range(3))):
                     seq = words_of(text)
-                    # rows of one item that differ in their text only: each has shingles of its own, at the same places
-                    at: dict[int, dict] = {}
-                    own = shingle_hashes(seq, size, WordHashes()).view(np.int64).tolist()
-                    for x in found:
-                        if x["at"] < len(own) and x["h"] == own[x["at"]]:
-                            at[x["at"]] = x
-                    rarity = [(at[k]["n"], own[k]) if k in at and at[k]["n"] else None for k in range(len(own))]
+                    own = shingle_hashes(seq, size, hashes).view(np.int64).tolist()
+                    rarity = [(n, h) if n else None for n, h in zip(found, own)]
                     for k in sorted(prefix_places(rarity, len(seq) - words + 1, reach + 1)):
                         yield own[k], item, *_context(seq, k, reach, words)
 
         yield from emit(rows(), to)
 
-    return items.join(rated, "item_id").select("item_id", "text", "s").mapInArrow(run, PREFIX)
+    return items.join(rated, "text_id").select("text_id", "text", "counts").mapInArrow(run, PREFIX)
 
 
 CANDIDATES = "h bigint,doc_id bigint,at int,d_before int,d_words string"
@@ -230,8 +228,8 @@ def common_run(a: list[str], a_at: int, b: list[str], b_at: int, size: int) -> t
 
 
 def _verified(met: DataFrame, words: int, size: int) -> DataFrame:
-    """(doc_id, item_id, start): the windows that are equal word by word."""
-    to = schema("doc_id bigint,item_id bigint,start int")
+    """(doc_id, text_id, start): the windows that are equal word by word."""
+    to = schema("doc_id bigint,text_id bigint,start int")
 
     def run(batches):
         def rows() -> Iterator[tuple]:
@@ -243,15 +241,16 @@ def _verified(met: DataFrame, words: int, size: int) -> DataFrame:
 
         yield from emit(rows(), to)
 
-    picked = met.select("doc_id", "item_id", "at", "d_before", "d_words", "i_before", "i_words")
-    return picked.mapInArrow(run, "doc_id bigint,item_id bigint,start int")
+    picked = met.select("doc_id", "text_id", "at", "d_before", "d_words", "i_before", "i_words")
+    return picked.mapInArrow(run, "doc_id bigint,text_id bigint,start int")
 
 
 def leaked_windows(docs: DataFrame, items: DataFrame, *, words: int = WORDS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, item_id, start) for every place of a document at which a window of an item begins; may repeat."""
+    """(doc_id, item_id, starts) for every document that holds a window of an item: the places at which one begins, in order."""
     spark, size = ship(docs.sparkSession), min(shingle, words)
-    none = spark.createDataFrame([], "doc_id bigint, item_id bigint, start int")
-    texts = items.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
+    none = spark.createDataFrame([], "doc_id bigint, item_id bigint, starts array<int>")
+    known = items.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
+    texts = checkpointed(known.select("text").distinct().withColumn("text_id", F.monotonically_increasing_id()).select("text_id", "text"))
     shingles = checkpointed(_distinct_shingles(texts, words, size))
     sent, n = _filter(shingles)
     if not n:
@@ -262,7 +261,12 @@ def leaked_windows(docs: DataFrame, items: DataFrame, *, words: int = WORDS, shi
     sent, n = _filter(prefixes)
     if not n:
         return none
-    return _verified(_candidates(scanned.where("words IS NOT NULL"), sent, words, size).join(prefixes, "h"), words, size)
+    windows = _verified(_candidates(scanned.where("words IS NOT NULL"), sent, words, size).join(prefixes, "h"), words, size)
+    # a document has no more windows than words
+    per_text = windows.groupBy("doc_id", "text_id").agg(F.collect_set("start").alias("s"))
+    holders = known.join(texts, "text").select("text_id", "item_id")
+    starts = F.array_sort(F.array_distinct(F.flatten(F.collect_list("s"))))
+    return per_text.join(holders, "text_id").groupBy("doc_id", "item_id").agg(starts.alias("starts"))
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, *, words: int = WORDS) -> DataFrame:
@@ -275,16 +279,15 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, words: int = WORDS) ->
     items count once; an item that holds a window twice counts it once; empty tables give no rows; other columns are
     ignored. Reads the documents once, when this is called.
     """
-    starts = F.array_sort(F.collect_set("start"))  # as many as the document has words
-    found = leaked_windows(docs, items, words=words).groupBy("doc_id", "item_id").agg(starts.alias("s"))
+    found = leaked_windows(docs, items, words=words)
     begin = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(state, x):
         run = F.when(x == state["last"] + 1, state["run"] + 1).otherwise(F.lit(1))
         return F.struct(x.alias("last"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
 
-    longest = F.aggregate("s", begin, step, lambda state: state["best"] + (words - 1))
-    return found.select("doc_id", "item_id", F.size("s").alias("shingles"), longest.alias("longest_words"), F.array_min("s").alias("first_word"))
+    longest = F.aggregate("starts", begin, step, lambda state: state["best"] + (words - 1))
+    return found.select("doc_id", "item_id", F.size("starts").alias("shingles"), longest.alias("longest_words"), F.array_min("starts").alias("first_word"))
 
 
 def leak_report(docs: DataFrame, items: DataFrame) -> DataFrame:
