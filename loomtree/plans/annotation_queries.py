@@ -61,7 +61,7 @@ def _stored_nodes(s, d):
 
 
 def _docs(s, d):
-    return table(s, d, "documents")
+    return table(s, d, "documents", spread=True)
 
 
 def _doc_events(s, d):

@@ -58,7 +58,7 @@ class RunConfig:
     #: Whether the cleaner is shown the tree so far and the ids in it, as ``read_batch`` shows them.
     show_tree: bool = False
     #: For cleaners that call a model.
-    task_model: str = "haiku"
+    task_model: str = "default"
     timeout: int = 600
 
 
