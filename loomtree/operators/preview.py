@@ -34,10 +34,10 @@ def preview_lines(nodes_: DataFrame, shown: DataFrame | None = None) -> DataFram
     flagged = (nodes_ if shown is None else shown).join(last_child, ["doc", "parent_seq"]).withColumn("is_last", F.col("node_seq") == F.col("last_seq"))
     if shown is not None:
         flagged = checkpointed(flagged)  # a bounded number of each document
-    above = level_closure(flagged, F.col("is_last")).where(F.col("node") != F.col("ancestor"))
-    up = F.sort_array(F.collect_list(F.struct("ancestor", "flag")))  # as many as the node is deep
+    above = level_closure(flagged, given=F.col("is_last")).where(F.col("node") != F.col("ancestor"))
+    up = F.sort_array(F.collect_list(F.struct("ancestor", "given")))  # as many as the node is deep
     indent = above.groupBy("doc", F.col("node").alias("node_seq")).agg(up.alias("up"))
-    strokes = F.array_join(F.transform("up", lambda x: F.when(x["flag"], BLANK).otherwise(BAR)), "")
+    strokes = F.array_join(F.transform("up", lambda x: F.when(x["given"], BLANK).otherwise(BAR)), "")
     rows = flagged.join(indent, ["doc", "node_seq"], "left").join(roots, "doc")
     bare = (F.col("eff_depth") == 1) & (F.col("n_roots") == 1)
     own = F.when(bare, "").when(F.col("is_last"), LAST).otherwise(INNER)

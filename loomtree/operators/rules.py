@@ -2,7 +2,7 @@
 
 Content is ordered and equal by (chunk_number, first_line) alone; last_line never takes part, but for the overlap of
 line ranges in a partition. Frames: ``content`` (doc, node, chunk_number, first_line, last_line), ``tree`` (doc, node,
-parent), ``closure`` (doc, node, ancestor), each node its own ancestor too, ``bounds`` (doc, node, lo, hi).
+parent), ``bounds`` (doc, node, lo, hi); a closure has each node as its own ancestor too.
 
 A closure is as large as the sum of the depths. That is linear in the input: a header at depth n has n dashes, and a
 node's path names n positions.
@@ -57,36 +57,45 @@ def path_bounds(content: DataFrame) -> DataFrame:
     return up.groupBy("doc", "node").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
 
 
-def level_closure(nodes_: DataFrame, flag: Column | None = None) -> DataFrame:
-    """Closure of event-built trees: at each level above, the ancestor is the last earlier node of that level. ``flag``, a
-    column of the nodes, is brought along from each ancestor."""
+def level_closure(nodes_: DataFrame, *, given: Column | None = None, asks: Column | None = None, only: Column | None = None) -> DataFrame:
+    """(doc, node, ancestor, given, asks) of event-built trees: at each level above, the ancestor is the last earlier node of
+    that level. ``given`` is a value that each ancestor brings along, ``asks`` one that each node does, so neither has to be
+    joined later; ``only``: which nodes ask for their ancestors."""
     from loomtree.operators.tree import _last_at_level
 
-    carried = F.struct(F.col("node_seq").alias("seq"), (F.lit(None).cast("boolean") if flag is None else flag).alias("flag"))
-    none = F.lit(None).cast("int")
-    given = F.array(F.struct(F.col("eff_depth").alias("level"), carried.alias("provider"), none.alias("asks")))
-    levels = F.when(F.col("eff_depth") > 1, F.sequence(F.lit(1), F.col("eff_depth") - 1)).otherwise(F.array().cast("array<int>"))
-    nobody = F.lit(None).cast("struct<seq:int,flag:boolean>")
-    asked = F.transform(levels, lambda x: F.struct(x.alias("level"), nobody.alias("provider"), F.col("node_seq").alias("asks")))
-    rows = nodes_.select("doc", "chunk", F.col("node_seq").alias("at"), F.explode(F.concat(given, asked)).alias("r"))
+    empty = F.lit(None).cast("boolean")
+    up = F.struct(F.col("node_seq").alias("seq"), (empty if given is None else given).alias("value"))
+    own = F.struct(F.col("node_seq").alias("seq"), (empty if asks is None else asks).alias("value"))
+    kinds = nodes_.select(up.alias("up"), own.alias("own")).schema
+    provides = F.struct(F.col("eff_depth").alias("level"), up.alias("provider"), F.lit(None).cast(kinds["own"].dataType).alias("asks"))
+    some = (F.col("eff_depth") > 1) if only is None else (F.col("eff_depth") > 1) & only
+    levels = F.when(some, F.sequence(F.lit(1), F.greatest(F.col("eff_depth") - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    asked = F.transform(levels, lambda x: F.struct(x.alias("level"), F.lit(None).cast(kinds["up"].dataType).alias("provider"), own.alias("asks")))
+    rows = nodes_.select("doc", "chunk", F.col("node_seq").alias("at"), F.explode(F.concat(F.array(provides), asked)).alias("r"))
     found = _last_at_level(rows.select("doc", "chunk", "at", "r.*"), "level", "provider", "found").where(F.col("asks").isNotNull())
-    names = ["doc", "node", "ancestor", *([] if flag is None else ["flag"])]
-    above = found.select("doc", F.col("asks").alias("node"), F.col("found.seq").alias("ancestor"), F.col("found.flag").alias("flag"))
-    own = nodes_.select("doc", F.col("node_seq").alias("node"), F.col("node_seq").alias("ancestor"), carried["flag"].alias("flag"))
-    return above.unionByName(own).select(names)
+    above = found.select("doc", F.col("asks.seq").alias("node"), F.col("found.seq").alias("ancestor"), F.col("found.value").alias("given"), F.col("asks.value").alias("asks"))
+    itself = nodes_ if only is None else nodes_.where(only)
+    return above.unionByName(itself.select("doc", F.col("node_seq").alias("node"), F.col("node_seq").alias("ancestor"), up["value"].alias("given"), own["value"].alias("asks")))
 
 
-def content_bounds(content: DataFrame, closure: DataFrame) -> DataFrame:
-    """(doc, node, lo, hi): the smallest and largest key in each node's subtree; no row without content."""
-    own = content.groupBy("doc", "node").agg(F.min(content_key()).alias("lo"), F.max(content_key()).alias("hi"))
-    up = own.join(closure, ["doc", "node"]).groupBy("doc", "ancestor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return up.withColumnRenamed("ancestor", "node")
+def _with_own(nodes_: DataFrame, content: DataFrame) -> DataFrame:
+    """Nodes with ``lo`` and ``hi``, the smallest and largest key of their own content, null without any."""
+    own = content.groupBy("doc", F.col("node").alias("node_seq")).agg(F.min(content_key()).alias("lo"), F.max(content_key()).alias("hi"))
+    return nodes_.select("doc", "chunk", "node_seq", "eff_depth").join(own, ["doc", "node_seq"], "left")
 
 
-def max_ancestor_content(content: DataFrame, closure: DataFrame) -> DataFrame:
-    """(doc, node, top): the largest key of each node and its ancestors; no row where none has content."""
-    own = content.groupBy("doc", "node").agg(F.max(content_key()).alias("top")).withColumnRenamed("node", "ancestor")
-    return closure.join(own, ["doc", "ancestor"]).groupBy("doc", "node").agg(F.max("top").alias("top"))
+def content_bounds(nodes_: DataFrame, content: DataFrame) -> DataFrame:
+    """(doc, node, lo, hi): the smallest and largest key in the subtree of each node of an event-built tree; no row without
+    content. A node with content tells its bounds to its ancestors, and a task combines what it has of one before it sends."""
+    with_own = _with_own(nodes_, content)
+    told = level_closure(with_own, asks=F.struct("lo", "hi"), only=F.col("lo").isNotNull())
+    return told.groupBy("doc", F.col("ancestor").alias("node")).agg(F.min("asks.lo").alias("lo"), F.max("asks.hi").alias("hi"))
+
+
+def max_ancestor_content(nodes_: DataFrame, content: DataFrame) -> DataFrame:
+    """(doc, node, top): the largest key of each node and its ancestors in an event-built tree; no row where none has content."""
+    told = level_closure(_with_own(nodes_, content), given=F.col("hi")).where(F.col("given").isNotNull())
+    return told.groupBy("doc", "node").agg(F.max("given").alias("top"))
 
 
 def rule_1_violations(tree: DataFrame, content: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -88,13 +88,13 @@ def _content(s, d):
 
 
 def _bounds(s, d):
-    found = rules.content_bounds(_content(s, d), rules.level_closure(_kept_nodes(s, d)))
+    found = rules.content_bounds(_kept_nodes(s, d), _content(s, d))
     return found.select("doc", F.col("node").alias("node_seq"), F.col("lo.chunk_number").alias("lo_chunk"), F.col("lo.first_line").alias("lo_line"),
                         F.col("hi.chunk_number").alias("hi_chunk"), F.col("hi.first_line").alias("hi_line"))
 
 
 def _ancestor_tops(s, d):
-    found = rules.max_ancestor_content(_content(s, d), rules.level_closure(_kept_nodes(s, d)))
+    found = rules.max_ancestor_content(_kept_nodes(s, d), _content(s, d))
     return found.select("doc", F.col("node").alias("node_seq"), F.col("top.chunk_number").alias("top_chunk"), F.col("top.first_line").alias("top_line"))
 
 
@@ -116,7 +116,7 @@ def _sibling_order(s, d):
     from pyspark.sql import Window as W
 
     nodes = _kept_nodes(s, d)
-    bounds = rules.content_bounds(_content(s, d), rules.level_closure(nodes))
+    bounds = rules.content_bounds(nodes, _content(s, d))
     kids = nodes.select("doc", F.col("node_seq").alias("node"), "parent_seq").join(bounds, ["doc", "node"])
     w = W.partitionBy("doc", "parent_seq").orderBy("node")
     return kids.select("doc", F.col("node").alias("node_seq"), rules.is_after(F.col("lo"), F.lag("hi").over(w)).alias("after_previous"))
