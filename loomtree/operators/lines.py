@@ -17,13 +17,15 @@ from loomtree.functions.patterns import FILE_LINE_BREAK, LINE_BREAK, OTHER_BREAK
 
 
 def split_lines(text: Column, breaks: str = LINE_BREAK) -> Column:
-    """The lines of a text: none for '', and no empty one after a final break."""
+    """The lines of a text: none for '', and no empty one after a final break.
+
+    The final break is taken off before the split, so the split is written, and computed, once.
+    """
     others = rf"[{OTHER_BREAKS}]" if breaks == LINE_BREAK else r"\r"
     # a plain line feed is split without a pattern
-    parts = F.when(text.rlike(others), F.split(text, breaks)).otherwise(F.split(text, "\n"))
-    n = F.size(parts)
-    ended = F.element_at(parts, -1) == ""
-    return F.when(ended, F.slice(parts, 1, F.greatest(n - 1, F.lit(0)))).otherwise(parts)
+    plain = F.split(F.when(text.endswith("\n"), F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text), "\n")
+    mixed = F.split(F.regexp_replace(text, rf"(?:{breaks})\z", ""), breaks)
+    return F.when(text == "", F.array().cast("array<string>")).when(text.rlike(others), mixed).otherwise(plain)
 
 
 def file_lines(text: Column) -> Column:
