@@ -1,5 +1,9 @@
 import os
+from types import SimpleNamespace
 
+import pytest
+
+from loomtree.checkpoints import shared_folder
 from loomtree.operators import annotations, lines, tree
 from loomtree.sources import files, sinks, tables
 
@@ -48,3 +52,9 @@ def test_logs_commits_and_trees(spark, tmp_path):
     assert files.read_memory(spark, state) == "note"
     (tmp_path / "t.json").write_text('{"id": "r", "title": ""}')
     assert files.read_trees(spark, str(tmp_path / "t.json")).first().tree_json == '{"id": "r", "title": ""}'
+
+
+def test_a_cluster_needs_a_shared_folder():
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://somewhere:7077")
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default)))
